@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from docloom.plans import problems
+
 
 def queries() -> dict:
-    return {}
+    return problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
