@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import csv_rows
+from docloom.operators import csv_rows, timestamps
 from docloom.tables import read
 
 
+def p2_found(spark, folder):
+    """Pairs of records of one file whose times denote the same second."""
+    return timestamps.same_moment(timestamps.normalise(read(spark, folder, "doc_metadata")))
+
+
+def p2_times(spark, folder):
+    """Every time as a moment in UTC, or why it denotes none."""
+    return timestamps.normalise(read(spark, folder, "doc_metadata"))
+
+
 def _csv(spark, folder):
     return (read(spark, folder, t) for t in ("csv_records", "csv_metadata", "csv_schemas"))
 
@@ -30,4 +40,4 @@ def p3_files(spark, folder):
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_rows": p3_rows, "p3_files": p3_files}
+    return {"p2_found": p2_found, "p2_times": p2_times, "p3_found": p3_found, "p3_rows": p3_rows, "p3_files": p3_files}
