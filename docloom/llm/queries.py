@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from docloom.llm import tokens
+from docloom.llm import names, tokens
 from docloom.tables import read
 
 
+def p4_found(spark, folder):
+    """Contributors named under a spelling other than the registered one."""
+    return names.variants(read(spark, folder, "doc_metadata"), read(spark, folder, "contributors"))
+
+
+def p4_links(spark, folder):
+    """Every name that is linked to the register."""
+    return names.linked(read(spark, folder, "doc_metadata"), read(spark, folder, "contributors"))
+
+
 def p7_ids(spark, folder):
     """Token ids of every document."""
     return tokens.encode(read(spark, folder, "documents"))
 
 
 def queries() -> dict:
-    return {"p7_ids": p7_ids}
+    return {"p4_found": p4_found, "p4_links": p4_links, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
