@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import names, tokens
+from docloom.llm import garbled, names, tokens
 from docloom.tables import read
 
 
@@ -16,13 +16,23 @@ def p4_links(spark, folder):
     return names.linked(read(spark, folder, "doc_metadata"), read(spark, folder, "contributors"))
 
 
+def p6_found(spark, folder):
+    """Texts that hold a garbled sequence."""
+    return garbled.found(read(spark, folder, "html_converted"))
+
+
+def p6_texts(spark, folder):
+    """Texts with garbled sequences restored."""
+    return garbled.restore(read(spark, folder, "html_converted"))
+
+
 def p7_ids(spark, folder):
     """Token ids of every document."""
     return tokens.encode(read(spark, folder, "documents"))
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_links": p4_links, "p7_ids": p7_ids}
+    return {"p4_found": p4_found, "p4_links": p4_links, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids}
 
 
 def oracle_sql() -> dict[str, str]:
