@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import garbled, names, tokens
+from docloom.llm import garbled, names, quality, tokens
 from docloom.tables import read
 
 
@@ -31,8 +31,18 @@ def p7_ids(spark, folder):
     return tokens.encode(read(spark, folder, "documents"))
 
 
+def p9_found(spark, folder):
+    """Documents whose body is a list, a table or junk."""
+    return quality.not_prose(read(spark, folder, "documents"))
+
+
+def p9_quality(spark, folder):
+    """Quality statistics and kind of every document."""
+    return quality.classified(read(spark, folder, "documents"))
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_links": p4_links, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids}
+    return {"p4_found": p4_found, "p4_links": p4_links, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p9_found": p9_found, "p9_quality": p9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
