@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from docloom.llm import garbled, names, quality, tokens
+from docloom.llm import chunking, garbled, names, quality, tokens
 from docloom.tables import read
 
 
+def p1_found(spark, folder):
+    """Texts that must be cut, and whether by force."""
+    return chunking.oversized(read(spark, folder, "extracted_texts"), read(spark, folder, "chunking_configs"))
+
+
+def p1_chunks(spark, folder):
+    """The pieces of every text."""
+    return chunking.chunks(read(spark, folder, "extracted_texts"), read(spark, folder, "chunking_configs"))
+
+
 def p4_found(spark, folder):
     """Contributors named under a spelling other than the registered one."""
     return names.variants(read(spark, folder, "doc_metadata"), read(spark, folder, "contributors"))
@@ -42,8 +52,18 @@ def p9_quality(spark, folder):
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_links": p4_links, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p9_found": p9_found, "p9_quality": p9_quality}
+    return {"p1_found": p1_found, "p1_chunks": p1_chunks, "p4_found": p4_found, "p4_links": p4_links, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p9_found": p9_found, "p9_quality": p9_quality}
+
+
+P1_FOUND = r"""
+WITH sized AS (
+  SELECT text_id, text, chunk_size FROM extracted_texts JOIN chunking_configs USING (config_id)
+  WHERE length(text) > chunk_size
+)
+SELECT text_id, CASE WHEN list_max(list_transform(string_split_regex(text, '[ \t\r\n]'), lambda x: length(x))) > chunk_size THEN 'forced' ELSE 'natural' END AS kind
+FROM sized
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_FOUND}
