@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import chunking, garbled, names, quality, tokens
+from docloom.llm import chunking, garbled, mixing, names, quality, tokens
 from docloom.tables import read
 
 
@@ -41,6 +41,16 @@ def p7_ids(spark, folder):
     return tokens.encode(read(spark, folder, "documents"))
 
 
+def p8_mixture(spark, folder):
+    """The mixture of all sources, document by document."""
+    return mixing.mixture(read(spark, folder, "documents"), read(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark, folder):
+    """The share that each source got."""
+    return mixing.shares(read(spark, folder, "documents"), read(spark, folder, "mix_targets"))
+
+
 def p9_found(spark, folder):
     """Documents whose body is a list, a table or junk."""
     return quality.not_prose(read(spark, folder, "documents"))
@@ -52,7 +62,7 @@ def p9_quality(spark, folder):
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_chunks": p1_chunks, "p4_found": p4_found, "p4_links": p4_links, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p9_found": p9_found, "p9_quality": p9_quality}
+    return {"p1_found": p1_found, "p1_chunks": p1_chunks, "p4_found": p4_found, "p4_links": p4_links, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_quality": p9_quality}
 
 
 P1_FOUND = r"""
