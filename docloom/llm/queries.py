@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import chunking, garbled, mixing, names, quality, tokens
+from docloom.llm import chunking, garbled, markup, mixing, names, quality, tokens
 from docloom.tables import read
 
 
@@ -26,6 +26,16 @@ def p4_links(spark, folder):
     return names.linked(read(spark, folder, "doc_metadata"), read(spark, folder, "contributors"))
 
 
+def p5_found(spark, folder):
+    """The kinds of markup in each text."""
+    return markup.found(read(spark, folder, "html_converted"), read(spark, folder, "file_contexts"))
+
+
+def p5_texts(spark, folder):
+    """The clean text of each page."""
+    return markup.converted(read(spark, folder, "html_converted"), read(spark, folder, "file_contexts"))
+
+
 def p6_found(spark, folder):
     """Texts that hold a garbled sequence."""
     return garbled.found(read(spark, folder, "html_converted"))
@@ -62,7 +72,7 @@ def p9_quality(spark, folder):
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_chunks": p1_chunks, "p4_found": p4_found, "p4_links": p4_links, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_quality": p9_quality}
+    return {"p1_found": p1_found, "p1_chunks": p1_chunks, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p5_texts": p5_texts, "p6_found": p6_found, "p6_texts": p6_texts, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_quality": p9_quality}
 
 
 P1_FOUND = r"""
