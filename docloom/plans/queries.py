@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.plans import problems
+from docloom.plans import basics, problems
+
+_CATALOGS = (basics.CATALOG,)
 
 
 def queries() -> dict:
-    return problems.queries()
+    return problems.queries() | {name: f for catalog in _CATALOGS for name, (f, _) in catalog.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for catalog in _CATALOGS for name, (_, sql) in catalog.items() if sql}
