@@ -102,7 +102,10 @@ def classified(df: DataFrame, key: str = "doc_id", text: str = "text", each: int
     """
     kind = F.expr(rules(df.sparkSession, each).sql())
     stats = statistics(df, key, text)
-    return stats.withColumn("kind", F.when(F.col("n_lines") > 0, kind))
+    # a generator between them keeps a later filter on the kind from being rewritten in terms of the text,
+    # where every statistic it asks for would be computed once more
+    held = stats.select(F.inline(F.array(F.struct(*stats.columns))))
+    return held.withColumn("kind", F.when(F.col("n_lines") > 0, kind))
 
 
 def not_prose(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
