@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import basics, problems
+from docloom.plans import basics, problems, relational
 
-_CATALOGS = (basics.CATALOG,)
+_CATALOGS = (basics.CATALOG, relational.CATALOG)
 
 
 def queries() -> dict:
