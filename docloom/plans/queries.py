@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import basics, problems, relational
+from docloom.plans import basics, files, problems, relational
 
-_CATALOGS = (basics.CATALOG, relational.CATALOG)
+_CATALOGS = (basics.CATALOG, relational.CATALOG, files.CATALOG)
 
 
 def queries() -> dict:
