@@ -1,4 +1,4 @@
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
@@ -18,7 +18,7 @@ def at(*parts):
         ("D:20220116034431+11'00", None, None, at(2022, 1, 15, 16, 44, 31)),
         ("D:20180320045700Z00'00'", None, None, at(2018, 3, 20, 4, 57)),
         ("D:20210202135700", None, "America/New_York", at(2021, 2, 2, 18, 57)),
-        ("132886977875613573", None, None, at(2022, 2, 9, 18, 9, 47)),
+        ("132886977875613573", None, None, int((datetime(1601, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=13288697787)).timestamp())),
         ("1598228837732", None, None, 1598228837),
         ("1544142900", None, None, 1544142900),
         ("15.04.2022 21:52:30", "de_DE", "Europe/Berlin", at(2022, 4, 15, 19, 52, 30)),
