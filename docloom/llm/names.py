@@ -44,6 +44,11 @@ NICKNAMES = {
     "victoria": "vicky tori", "catherine": "cathy cate kate", "eleanor": "ellie nell nora", "peter": "pete", "philip": "phil", "gregory": "greg", "kenneth": "ken", "ronald": "ron", "timothy": "tim", "walter": "walt",
 }
 _NICK = {(short, name) for name, shorts in NICKNAMES.items() for short in shorts.split()}
+#: Words that say what kind an organisation is; two of different kinds are never the same.
+KINDS = frozenset("university institute centre ltd laboratory association corporation academy college ministry agency".split())
+#: Further words common in names of organisations, which tell little in a register of any size.
+COMMON = KINDS | frozenset("department national international of faculty school".split())
+MOST_COMMON_WEIGHT = 1.0
 _FOLD = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th", "ð": "d"})
 _SPLIT = re.compile(r"\s*;\s*|\s+/\s+|\s*\|\s*|\s+&\s+|\s+and\s+", re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
@@ -132,15 +137,18 @@ def person_score(typed: list[str], name: list[str]) -> float:
 
 
 def organisation_score(typed: dict[str, float], name: dict[str, float]) -> float:
-    """Shared weight of two sets of tokens against all; mistyped tokens share nine tenths of theirs."""
-    left, shared = dict(name), 0.0
+    """Shared weight of two sets of tokens against all; mistyped tokens share nine tenths of theirs, kinds must agree."""
+    ours, theirs = KINDS & typed.keys(), KINDS & name.keys()
+    if ours and theirs and not ours & theirs:
+        return 0.0
+    typed, left = ({t: min(w, MOST_COMMON_WEIGHT) if t in COMMON else w for t, w in x.items()} for x in (typed, name))
+    total, shared = sum(typed.values()) + sum(left.values()), 0.0
     for token, weight in sorted(typed.items(), key=lambda x: -x[1]):
         if token in left:
             shared += 2 * left.pop(token)
         elif hit := next((n for n in left if slip(token, n)), None):
             shared += 0.9 * (weight + left[hit]) if weight < left[hit] * 4 else 0
             left.pop(hit)
-    total = sum(typed.values()) + sum(name.values())
     return shared / total if total else 0.0
 
 
