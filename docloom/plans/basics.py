@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import formats, render, tags, text
-from docloom.tables import read
+from docloom.tables import read, read_wide
 
 CATALOG: dict = {}
 #: White space of Unicode, as a class for SQL; the SQL engine's own is ASCII.
@@ -30,7 +30,7 @@ _BLANKS = r"regexp_replace(text, '\n\s*\n\s*\n+', E'\n\n', 'g')"
 @query(f"SELECT doc_id, {_strip(_BLANKS)} AS clean FROM documents")
 def text_clean(spark, d):
     """Plain cleaning of whole texts."""
-    return read(spark, d, "documents").select("doc_id", text.clean_plain(F.col("text")).alias("clean"))
+    return read_wide(spark, d, "documents").select("doc_id", text.clean_plain(F.col("text")).alias("clean"))
 
 
 @query(rf"SELECT text_id, replace(regexp_replace(text, '{WS}+$', ''), E'\t', '    ') AS clean FROM extracted_texts")

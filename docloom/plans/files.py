@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom import engine
 from docloom.operators.chunkers import chunked
 from docloom.sources import delimited, jsonpaths, webpage
-from docloom.tables import bounded_batches, read
+from docloom.tables import bounded_batches, read, read_wide
 
 CATALOG: dict = {}
 
@@ -39,26 +39,26 @@ def _mapped(df, function, out: str, kind: pa.DataType, sql_kind: str):
 @query()
 def extract_heads(spark, d):
     """Every file by its reader, as far as its bytes are there; failures as values."""
-    return engine.extracted(read(spark, d, "file_contexts"), ["file_id", "ingested_at"], "file_data", "file_extension").drop("metadata", "tables")
+    return engine.extracted(read_wide(spark, d, "file_contexts"), ["file_id", "ingested_at"], "file_data", "file_extension").drop("metadata", "tables")
 
 
 @query()
 def chunk_router(spark, d):
     """Chunks of every text by the strategy that fits it and its own settings."""
-    texts = read(spark, d, "extracted_texts").join(read(spark, d, "chunking_configs"), "config_id", "left")
+    texts = read_wide(spark, d, "extracted_texts").join(read(spark, d, "chunking_configs"), "config_id", "left")
     return chunked(texts, ["text_id"], "text", None, "chunk_size", "chunk_overlap", "preserve_tables")
 
 
 @query()
 def html_text(spark, d):
     """The text of every page by a walk over its tree."""
-    return _mapped(read(spark, d, "html_converted").select("html_id", "ingested_at", "html_text"), webpage.text_of, "text", pa.string(), "string")
+    return _mapped(read_wide(spark, d, "html_converted").select("html_id", "ingested_at", "html_text"), webpage.text_of, "text", pa.string(), "string")
 
 
 @query()
 def html_tables(spark, d):
     """Rows of cells of every table of every page."""
-    pages = read(spark, d, "html_converted").select("html_id", "ingested_at", "html_text")
+    pages = read_wide(spark, d, "html_converted").select("html_id", "ingested_at", "html_text")
     found = _mapped(pages, lambda t: [[[c.text for c in r] for r in rows] for rows in webpage.read(t).tables], "tables", pa.list_(pa.list_(pa.list_(pa.string()))), "array<array<array<string>>>")
     return found.select("html_id", "ingested_at", F.posexplode("tables").alias("table_no", "rows")).select("html_id", "ingested_at", "table_no", F.posexplode("rows").alias("row_no", "cells"))
 
@@ -81,4 +81,4 @@ def csv_sniff(spark, d):
 def json_nested(spark, d):
     """Nested objects as lines of path and value."""
     nested = F.to_json(F.struct("doc_id", "lang", F.array(F.struct(F.col("source").alias("k"), F.col("version_no").cast("string").alias("v")), F.struct(F.col("group_code").alias("k"), F.col("subject_area").alias("v"))).alias("parts")))
-    return _mapped(read(spark, d, "documents").select("doc_id", nested.alias("j")), jsonpaths.flatten, "lines", pa.string(), "string")
+    return _mapped(read_wide(spark, d, "documents").select("doc_id", nested.alias("j")), jsonpaths.flatten, "lines", pa.string(), "string")

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators import csv_rows, timestamps
-from docloom.tables import read
+from docloom.tables import read, read_wide
 
 
 def p2_found(spark, folder):
     """Pairs of records of one file whose times denote the same second."""
-    return timestamps.same_moment(timestamps.normalise(read(spark, folder, "doc_metadata")))
+    return timestamps.same_moment(timestamps.normalise(read_wide(spark, folder, "doc_metadata")))
 
 
 def p2_times(spark, folder):
     """Every time as a moment in UTC, or why it denotes none."""
-    return timestamps.normalise(read(spark, folder, "doc_metadata"))
+    return timestamps.normalise(read_wide(spark, folder, "doc_metadata"))
 
 
 def _csv(spark, folder):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import tags
 from docloom.operators import layout, structure, tables
 from docloom.plans.basics import WS
-from docloom.tables import read
+from docloom.tables import read, read_wide
 
 CATALOG: dict = {}
 
@@ -84,7 +84,7 @@ _REGIONS_SQL = " UNION ALL ".join(
 @query(f"SELECT text_id, kind, s, s + n AS e FROM ({_REGIONS_SQL})")
 def protected_regions(spark, d):
     """Regions of texts that are kept whole."""
-    return structure.regions(read(spark, d, "extracted_texts"), "text_id", "text")
+    return structure.regions(read_wide(spark, d, "extracted_texts"), "text_id", "text")
 
 
 @query(f"""WITH r AS (SELECT text_id, kind, s - 150 AS s, s + n + 150 AS e FROM ({_REGIONS_SQL})), f AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY text_id ORDER BY s, e, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM r),
