@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from docloom.llm import chunking, garbled, markup, mixing, names, quality, tokens
-from docloom.tables import read
+from docloom.tables import read, read_wide
 
 
 def p1_found(spark, folder):
     """Texts that must be cut, and whether by force."""
-    return chunking.oversized(read(spark, folder, "extracted_texts"), read(spark, folder, "chunking_configs"))
+    return chunking.oversized(read_wide(spark, folder, "extracted_texts"), read(spark, folder, "chunking_configs"))
 
 
 def p1_chunks(spark, folder):
     """The pieces of every text."""
-    return chunking.chunks(read(spark, folder, "extracted_texts"), read(spark, folder, "chunking_configs"))
+    return chunking.chunks(read_wide(spark, folder, "extracted_texts"), read(spark, folder, "chunking_configs"))
 
 
 def p4_found(spark, folder):
@@ -28,47 +28,47 @@ def p4_links(spark, folder):
 
 def p5_found(spark, folder):
     """The kinds of markup in each text."""
-    return markup.found(read(spark, folder, "html_converted"), read(spark, folder, "file_contexts"))
+    return markup.found(read_wide(spark, folder, "html_converted"), read(spark, folder, "file_contexts"))
 
 
 def p5_texts(spark, folder):
     """The clean text of each page."""
-    return markup.converted(read(spark, folder, "html_converted"), read(spark, folder, "file_contexts"))
+    return markup.converted(read_wide(spark, folder, "html_converted"), read(spark, folder, "file_contexts"))
 
 
 def p6_found(spark, folder):
     """Texts that hold a garbled sequence."""
-    return garbled.found(read(spark, folder, "html_converted"))
+    return garbled.found(read_wide(spark, folder, "html_converted"))
 
 
 def p6_texts(spark, folder):
     """Texts with garbled sequences restored."""
-    return garbled.restore(read(spark, folder, "html_converted"))
+    return garbled.restore(read_wide(spark, folder, "html_converted"))
 
 
 def p7_ids(spark, folder):
     """Token ids of every document."""
-    return tokens.encode(read(spark, folder, "documents"))
+    return tokens.encode(read_wide(spark, folder, "documents"))
 
 
 def p8_mixture(spark, folder):
     """The mixture of all sources, document by document."""
-    return mixing.mixture(read(spark, folder, "documents"), read(spark, folder, "mix_targets"))
+    return mixing.mixture(read_wide(spark, folder, "documents"), read(spark, folder, "mix_targets"))
 
 
 def p8_shares(spark, folder):
     """The share that each source got."""
-    return mixing.shares(read(spark, folder, "documents"), read(spark, folder, "mix_targets"))
+    return mixing.shares(read_wide(spark, folder, "documents"), read(spark, folder, "mix_targets"))
 
 
 def p9_found(spark, folder):
     """Documents whose body is a list, a table or junk."""
-    return quality.not_prose(read(spark, folder, "documents"))
+    return quality.not_prose(read_wide(spark, folder, "documents"))
 
 
 def p9_quality(spark, folder):
     """Quality statistics and kind of every document."""
-    return quality.classified(read(spark, folder, "documents"))
+    return quality.classified(read_wide(spark, folder, "documents"))
 
 
 def queries() -> dict:
