@@ -20,8 +20,8 @@ from docloom.config import Settings
 from docloom.functions.formats import CATEGORIES, SIGNATURES
 from docloom.functions.render import LABELS
 from docloom.operators.chunkers import chunk
-from docloom.sources import decode, delimited, jsonpaths, ooxml, rtf, webpage
-from docloom.sources.grid import Cell
+from docloom.sources import decode, delimited, jsonpaths, ole, ooxml, pdf, rtf, webpage
+from docloom.sources.grid import Cell, as_markdown
 from docloom.tables import bounded_batches
 
 
@@ -79,6 +79,45 @@ def _image(data: bytes, ext: str) -> Read:
     return Read(f"[Image:{hashlib.sha256(data).hexdigest()[:16]}.{kind}]", {"format": kind, "size": str(len(data))})
 
 
+def _old(reader: Callable[[ole.Compound], str]) -> Callable[[bytes, str], Read]:
+    def read(data: bytes, ext: str) -> Read:
+        c = ole.Compound(data)
+        return Read(reader(c), ole.properties(c))
+
+    return read
+
+
+def _old_workbook(data: bytes, ext: str) -> Read:
+    c = ole.Compound(data)
+    parts, tables = [], []
+    for name, cells in ole.workbook_cells(c):
+        parts.append(f"[Sheet: {name}]")
+        if cells:
+            r0, r1, c0, c1 = min(r for r, _ in cells), max(r for r, _ in cells), min(k for _, k in cells), max(k for _, k in cells)
+            rows = [[Cell(cells.get((r, k), ""), header=r == r0) for k in range(c0, c1 + 1)] for r in range(r0, r1 + 1)]
+            tables.append(rows)
+            parts.append(as_markdown(rows))
+    return Read("\n\n".join(parts), ole.properties(c), tables)
+
+
+def _hwpx(package: ooxml.Package) -> tuple[str, list]:
+    """Paragraphs of the sections of a packed Hangul document, sections by their number."""
+    names = sorted((n for n in package.names if re.fullmatch(r"Contents/section\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+    out = []
+    for n in names:
+        for p in package.xml(n).iter():
+            if p.tag.endswith("}p"):
+                text = "".join(t.text or "" for t in p.iter() if t.tag.endswith("}t"))
+                if text.strip():
+                    out.append(text)
+    return "\n".join(out), []
+
+
+def _pdf(data: bytes, ext: str) -> Read:
+    text, info = pdf.read(data)
+    return Read(text, info)
+
+
 registry: dict[str, Callable[[bytes, str], Read]] = {}
 
 
@@ -101,6 +140,12 @@ register("docx", _package(ooxml.word_text))
 register("xlsx", _package(ooxml.workbook_text))
 register("pptx", _package(ooxml.slides_text))
 register("rtf", _rtf)
+register("doc", _old(ole.word_text))
+register("ppt", _old(ole.slides_text))
+register("xls", _old_workbook)
+register("hwp", _old(ole.hangul_text))
+register("hwpx", _package(_hwpx))
+register("pdf", _pdf)
 register(CATEGORIES["image"] + " tiff tif", _image)
 
 

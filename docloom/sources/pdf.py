@@ -1,0 +1,153 @@
+"""Text of simple PDF files by the standard library: pages in order, text operators of their streams.
+
+Fonts are read as Latin or by their own ToUnicode maps; files that are encrypted or that pack their objects in
+ways not known here give an error or a page without text, never a wrong file.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj\b", re.DOTALL)
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.DOTALL)
+_REF = re.compile(rb"(\d+)\s+\d+\s+R")
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+#: Entries of the info dictionary and the fields they fill.
+INFO = {"Title": "title", "Subject": "subject", "Author": "author", "Keywords": "keywords", "CreationDate": "create_time", "ModDate": "last_saved_time"}
+
+
+class Document:
+    def __init__(self, data: bytes):
+        if not data[:1024].lstrip().startswith(b"%PDF"):
+            raise ValueError("no PDF")
+        if b"/Encrypt" in data:
+            raise ValueError("the file is encrypted")
+        self.objects = {int(n): body for n, _, body in _OBJECT.findall(data)}
+        for body in list(self.objects.values()):
+            if b"/ObjStm" in body:
+                self._unpack(body)
+
+    def _unpack(self, body: bytes) -> None:
+        data, first = self.stream(body), re.search(rb"/First\s+(\d+)", body)
+        if not first:
+            return
+        at = int(first[1])
+        numbers = list(map(int, data[:at].split()))
+        pairs = list(zip(numbers[::2], numbers[1::2]))
+        for k, (n, offset) in enumerate(pairs):
+            end = pairs[k + 1][1] if k + 1 < len(pairs) else len(data) - at
+            self.objects.setdefault(n, data[at + offset : at + end])
+
+    def stream(self, body: bytes) -> bytes:
+        m = _STREAM.search(body)
+        if not m:
+            return b""
+        if b"FlateDecode" in body[: m.start()]:
+            try:
+                return zlib.decompressobj().decompress(m[1])
+            except zlib.error:
+                return b""
+        return m[1] if b"/Filter" not in body[: m.start()] else b""
+
+    def pages(self) -> list[bytes]:
+        root = next((b for b in self.objects.values() if re.search(rb"/Type\s*/Catalog", b)), None)
+        m = re.search(rb"/Pages\s+(\d+)", root) if root else None
+        out: list[bytes] = []
+        todo, seen = [int(m[1])] if m else [], set()
+        while todo:
+            n = todo.pop(0)
+            body = self.objects.get(n, b"")
+            if n in seen:
+                continue
+            seen.add(n)
+            if re.search(rb"/Type\s*/Pages", body):
+                kids = re.search(rb"/Kids\s*\[(.*?)\]", body, re.DOTALL)
+                todo = [int(x) for x in _REF.findall(kids[1])] + todo if kids else todo
+            elif body:
+                out.append(body)
+        return out or [b for b in self.objects.values() if re.search(rb"/Type\s*/Page\b", b)]
+
+    def _maps(self, page: bytes) -> dict[bytes, dict[int, str]]:
+        res = page
+        m = re.search(rb"/Resources\s+(\d+)\s+\d+\s+R", page)
+        if m:
+            res = self.objects.get(int(m[1]), b"")
+        m = re.search(rb"/Font\s+(\d+)\s+\d+\s+R", res)
+        fonts = self.objects.get(int(m[1]), b"") if m else (re.search(rb"/Font\s*<<(.*?)>>", res, re.DOTALL) or [b"", b""])[1]
+        out = {}
+        for name, n in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", fonts):
+            u = re.search(rb"/ToUnicode\s+(\d+)", self.objects.get(int(n), b""))
+            if u:
+                out[name] = _cmap(self.stream(self.objects.get(int(u[1]), b"")))
+        return out
+
+    def text(self, page: bytes) -> str:
+        m = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", page, re.DOTALL)
+        data = b"\n".join(self.stream(self.objects.get(int(n), b"")) for n in _REF.findall(m[1])) if m else b""
+        maps, font, out = self._maps(page), {}, []
+        for t in re.finditer(rb"/([^\s/<>\[\]()]+)\s+[\d.]+\s+Tf|(\[(?:\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|[^\]()<>])*\])\s*TJ|(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(Tj|'|\")|(-?[\d.]+)\s+(-?[\d.]+)\s+T[dD]\b|\bT\*|\bTm\b|\bET\b", data, re.DOTALL):
+            if t[1]:
+                font = maps.get(t[1], {})
+            elif t[2]:
+                for piece in re.finditer(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|-?\d+(?:\.\d+)?", t[2], re.DOTALL):
+                    if piece[0][:1] in b"(<":
+                        out.append(_shown(piece[0], font))
+                    elif float(piece[0]) < -200:
+                        out.append(" ")
+            elif t[3]:
+                out.append(("\n" if t[4] != b"Tj" else "") + _shown(t[3], font))
+            elif t[5] is None or float(t[6]) != 0:
+                out.append("\n")
+        return re.sub(r"\n\s*\n+", "\n", "".join(out)).strip()
+
+    def info(self) -> dict[str, str]:
+        out = {}
+        for body in self.objects.values():
+            if b"/Type" in body or not re.search(rb"/(?:Title|Author|Producer)\s*[(<]", body):
+                continue
+            for key, field in INFO.items():
+                m = re.search(rb"/" + key.encode() + rb"\s*(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)", body, re.DOTALL)
+                if m:
+                    raw = _raw(m[1])
+                    text = raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("latin-1")
+                    if text.strip():
+                        out[field] = text.strip()
+        return out
+
+
+def _raw(token: bytes) -> bytes:
+    if token.startswith(b"<"):
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return re.sub(rb"\\([nrtbf]|[0-7]{1,3}|\r?\n|.)", lambda m: _ESCAPES.get(m[1]) or (bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1].endswith(b"\n") else m[1]), token[1:-1], flags=re.DOTALL)
+
+
+def _shown(token: bytes, font: dict[int, str]) -> str:
+    raw = _raw(token)
+    if not font:
+        return raw.decode("cp1252", "replace")
+    if max(font) > 255:
+        return "".join(font.get(int.from_bytes(raw[i : i + 2], "big"), "") for i in range(0, len(raw), 2))
+    return "".join(font.get(b, chr(b)) for b in raw)
+
+
+def _cmap(data: bytes) -> dict[int, str]:
+    out: dict[int, str] = {}
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.DOTALL):
+        for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            out[int(a, 16)] = text(b)
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", data, re.DOTALL):
+        for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            for k in range(int(a, 16), min(int(b, 16), int(a, 16) + 65535) + 1):
+                out[k] = chr(int(c, 16) + k - int(a, 16)) if len(c) <= 4 else text(c)
+    return out
+
+
+def read(data: bytes) -> tuple[str, dict[str, str]]:
+    """Pages with their tags, and metadata."""
+    document = Document(data)
+    pages = document.pages()
+    parts = [f"[Page Number: {i}]\n{document.text(p)}".strip() for i, p in enumerate(pages, 1)]
+    return "\n\n".join(parts), document.info() | {"page_count": str(len(pages))}
