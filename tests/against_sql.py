@@ -26,6 +26,7 @@ def compare(spark, name: str, folder: str) -> str:
     import __spark_entry__ as entry
 
     con = duckdb.connect()
+    con.execute("SET enable_progress_bar = false")
     for p in Path(folder).glob("*.parquet"):
         con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     got = entry.queries()[name](spark, folder)
@@ -39,7 +40,8 @@ def compare(spark, name: str, folder: str) -> str:
     theirs = sorted((repr([plain(r[i]) for i in at]) for r in cur.fetchall()))
     if ours == theirs:
         return ""
-    a, b = [x for x in ours if x not in set(theirs)][:2], [x for x in theirs if x not in set(ours)][:2]
+    left, right = set(ours), set(theirs)
+    a, b = [x for x in ours if x not in right][:2], [x for x in theirs if x not in left][:2]
     return f"{len(ours)} and {len(theirs)} rows; {[x[:400] for x in a]} and {[x[:400] for x in b]}"
 
 
