@@ -17,7 +17,7 @@ def test_reasons():
     assert outcome(ok) == C.OK
     assert outcome(b"1,\xff,1,1,2024-01-01") == C.ENCODING
     assert outcome(b'1,a"b,1,1,2024-01-01') == outcome(b'1,"ab,1,1,2024-01-01') == outcome(b'1,"a"b,1,1,2024-01-01') == C.QUOTING
-    assert outcome(b"1,a,1,1") == outcome(b"") == outcome(None if False else b"1,a,1,1,2024-01-01,") == C.COLUMNS
+    assert outcome(b"1,a,1,1") == outcome(b"") == outcome(b"1,a,1,1,2024-01-01,") == C.COLUMNS
     for bad in (b"x,a,1,1,2024-01-01", b",a,1,1,2024-01-01", b"1,a,1,1,2023-02-29", b"1,a,1,1.,2024-01-01", b"2147483648,a,1,1,2024-01-01", b"1,a,1e,1,2024-01-01"):
         assert outcome(bad) == C.VALUE, bad
     assert outcome(b"+1,,,,") == C.OK and outcome("1,,,₩1,234,".encode().replace(b"1,234", b"1234")) == C.OK
