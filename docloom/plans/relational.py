@@ -369,11 +369,11 @@ _BOXES = """boxes AS (SELECT l_orderkey // 100 AS page, l_orderkey * 10 + l_line
 
 
 def _boxes(spark, d):
-    """Boxes on pages out of the order lines of the first orders; a fixture, as no table here holds boxes."""
+    """Boxes on pages out of all order lines, as no table here holds boxes. ``_BOXES`` has those of the first orders alone."""
     c = F.col
     x0, y0 = (c("l_partkey") * 37) % 500, (c("l_suppkey") * 53 + c("l_linenumber") * 11) % 700
     double = lambda e: e.cast("double")
-    return read(spark, d, "lineitem").where("l_orderkey < 3000").select(
+    return read(spark, d, "lineitem").select(
         F.floor(c("l_orderkey") / 100).alias("page"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), double(x0).alias("x0"), double(y0).alias("y0"), double(x0 + 40 + c("l_linenumber") * 5).alias("x1"),
         double(y0 + 20 + c("l_linenumber") * 3).alias("y1"), (c("l_linenumber") == 1).alias("is_table"), double(c("l_partkey") % 100).alias("score"),
     )
