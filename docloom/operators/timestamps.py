@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -64,25 +65,23 @@ def mask(value: str) -> str:
     return _LETTERS.sub("a", value.translate(_DIGITS)) if value.isascii() or _LETTERS.search(value) else value.translate(_DIGITS)
 
 
-@lru_cache(maxsize=4096)
+#: The most runs of letters that any of FORMATS can hold: a day's name, a month's and a zone's, or a month's, a half of the day and a zone's.
+MOST_RUNS = 3
+
+
 def formats_of(shape: str) -> tuple[int, ...]:
-    """The formats that values of a shape can have, found once for each shape.
+    """The formats that values of a shape can have, found once for each shape; none where it has more runs of letters
+    than any format, as texts do that are no times."""
+    return () if shape.count("a") > MOST_RUNS else _formats_of(shape)
 
-    A stand-in of every kind of word that a format tells apart is tried in the place of the letters.
-    """
-    pieces, tried = shape.split("a"), set()
-    words = ("T", "Z", "D", "AM", "UTC", "CEST", "Jan", "January", "Mon", "Monday")
-    slots = len(pieces) - 1
-    options = [words] * slots if slots <= 3 else []
-    fill = [""] if slots == 0 else None
-    if fill is None:
-        fill = [pieces[0]]
-        for k in range(slots):
-            fill = [f + w + pieces[k + 1] for f in fill for w in (options[k] if options else ("Mon", "Jan", "AM", "UTC"))]
-    else:
-        fill = [shape]
-    for text in fill:
-        text = text.replace("9", "1")
+
+@lru_cache(maxsize=4096)
+def _formats_of(shape: str) -> tuple[int, ...]:
+    """A stand-in of every kind of word that a format tells apart is tried in the place of the letters, one text at a time."""
+    first, *pieces = shape.replace("9", "1").split("a")
+    tried: set[int] = set()
+    for words in product(("T", "Z", "D", "AM", "UTC", "CEST", "Jan", "January", "Mon", "Monday"), repeat=len(pieces)):
+        text = first + "".join(w + p for w, p in zip(words, pieces))
         tried |= {i for i, f in enumerate(FORMATS) if f.fullmatch(text)}
     return tuple(sorted(tried))
 
