@@ -22,8 +22,9 @@ def clean_code(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """At most one blank line in a row, none of blanks at the ends of lines, white space at both ends goes."""
-    return stripped(F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"(?m)[ \t]+$", ""))
+    """At most one blank line in a row, no blanks before a line feed, white space at both ends goes. A line ends at a
+    line feed alone; a carriage return is a sign like others, as in Python's and the SQL engine's ``(?m)$``."""
+    return stripped(F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"[ \t]+(?=\n|\z)", ""))
 
 
 def is_numeric(value: Column) -> Column:

@@ -44,8 +44,8 @@ _ENDS = r"regexp_replace(regexp_replace(text, '\n{3,}', E'\n\n', 'g'), '(?m)[ \t
 
 @query(f"SELECT text_id, {_strip(_ENDS)} AS clean FROM extracted_texts WHERE NOT contains(text, E'\\r')")
 def text_normalize(spark, d):
-    """The last normalisation of extracted text, on texts with line feeds alone."""
-    return read(spark, d, "extracted_texts").where(~F.col("text").contains("\r")).select("text_id", text.normalised(F.col("text")).alias("clean"))
+    """The last normalisation of extracted text, on all texts; null stays null. The SQL has those without a carriage return alone."""
+    return read(spark, d, "extracted_texts").select("text_id", text.normalised(F.col("text")).alias("clean"))
 
 
 @query("SELECT doc_id, length(text) AS n_chars, length(text) - length(replace(text, E'\\n', '')) + 1 AS n_lines, n_chars = length(text) AS as_said FROM documents")

@@ -1,10 +1,11 @@
 """Queries hold all rows of their tables, also those that their SQL leaves out."""
 
+import re
 from collections import defaultdict
 
 import pytest
 
-from docloom.plans import more, relational
+from docloom.plans import basics, more, relational
 
 
 def lines():
@@ -66,3 +67,11 @@ def test_pages_of_all_orders(spark, boxes):
     for r in more.cluster_1d(spark, boxes).collect():
         held[r.page] += r.boxes
     assert held == {p: len(bs) for p, bs in every.items()}
+
+
+def test_normalises_texts_of_any_line_ends(spark, tmp_path):
+    texts = ["a \t\r\nb  \n\n\n\nc \r", "a\r\n\r\n\r\n\r\nb", None, "", "a  \rb\t\n", " \r\n", "x  y \x85z \n", "a \n\n\n \n\nb", "no end "]
+    spark.createDataFrame(list(enumerate(texts)), "text_id int, text string").write.parquet(f"{tmp_path}/extracted_texts.parquet")
+    got = {r.text_id: r.clean for r in basics.text_normalize(spark, str(tmp_path)).collect()}
+    python = lambda t: re.sub(r"[ \t]+$", "", re.sub("\n{3,}", "\n\n", t), flags=re.MULTILINE).strip()
+    assert got == {i: None if t is None else python(t) for i, t in enumerate(texts)}
