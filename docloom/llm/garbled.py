@@ -11,8 +11,10 @@ of a fixed number of slots, so what goes to the workers is bounded whatever the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import nlargest
+from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -37,7 +39,13 @@ PRICES |= dict.fromkeys(TWO_BYTES, 3.0)
 #: Times a text is gone over, as it may have been garbled more than once.
 ROUNDS = 3
 #: Paths kept through a lattice, and wildcards up to which one is searched.
-BEAM, MOST_LOST = 24, 12
+BEAM = 24
+#: What lost signs cost a word in nats, for each dozen of them; a word with fewer pays for a dozen.
+LOST_PRICE, DOZEN = 40, 12
+#: From this many signs on a word is a stretch without a blank; its frequency as a whole says nothing, pairs of signs do.
+LONG = 400
+#: Signs of a path of the beam that are held at its end; those before are shared between paths.
+TAIL = 64
 #: Weight of the word table against the pairs of signs.
 WORD_SHARE = 0.7
 
@@ -111,6 +119,11 @@ class Frequencies:
         """Log probability of a word; what is pure ASCII costs nothing, as no channel changes it."""
         return sum(map(self.part, PART.findall(word)))
 
+    def stretch(self, text: str) -> float:
+        """Log probability of a long stretch, from its pairs of signs alone."""
+        marked = (f"\x02{p}\x03" for p in PART.findall(text))
+        return sum(sum(self.step(m[i : i + 2]) for i in range(len(m) - 1)) + float(np.log(1 - WORD_SHARE)) for m in marked)
+
     def alphabet(self) -> list[str]:
         """The signs beyond ASCII that the corpus uses most, for wildcards of one-byte encodings."""
         if self.frequent is None:
@@ -143,26 +156,49 @@ def unread(word: str, wrong: str) -> list[int | None] | None:
     return out
 
 
-def reread(raw: list[int | None], true: str, lm: Frequencies) -> str | None:
-    """The likeliest text of bytes in the true encoding; None: there is none."""
+#: A path of the beam: its score, the signs at its end, and the signs before them as a chain of pairs.
+Path = tuple[float, str, tuple | None]
+_ORDER = itemgetter(0, 1)
+
+
+def _longer(path: Path, score: float, sign: str) -> Path:
+    """The path with one more sign; the chain keeps it as cheap at the end of a long text as at its start."""
+    _, tail, before = path
+    if len(tail) < TAIL:
+        return score, tail + sign, before
+    return score, tail[-1] + sign, (before, tail[:-1])
+
+
+def _text(path: Path) -> str:
+    parts, before = [path[1]], path[2]
+    while before:
+        before, part = before
+        parts.append(part)
+    return "".join(reversed(parts))
+
+
+def reread(raw: list[int | None], true: str, lm: Frequencies, score: Callable[[str], float]) -> str | None:
+    """The likeliest text of bytes in the true encoding, however many are lost if they are less than half; None: there is none."""
     lost = sum(b is None for b in raw)
     if not lost:
         try:
             return bytes(raw).decode(true)
         except UnicodeDecodeError:
             return None
-    if lost > MOST_LOST or lost * 2 >= len(raw):
+    if lost * 2 >= len(raw):
         return None
-    paths: dict[int, list[tuple[float, str]]] = {0: [(0.0, "")]}
+    paths: dict[int, list[Path]] = {0: [(0.0, "", None)]}
     for at in range(len(raw)):
-        here = sorted(paths.pop(at, []), reverse=True)[:BEAM]
+        if not paths:
+            return None
+        here = nlargest(BEAM, paths.pop(at, []), key=_ORDER)
         if not here:
             continue
         for size, sign in _signs(raw, at, true, lm):
-            for score, text in here:
-                paths.setdefault(at + size, []).append((score + lm.step((text[-1:] or "\x02") + sign), text + sign))
-    ends = paths.get(len(raw), [])
-    return max(((lm.word(text), text) for _, text in sorted(ends, reverse=True)[:BEAM]), default=(0, None))[1]
+            for path in here:
+                paths.setdefault(at + size, []).append(_longer(path, path[0] + lm.step((path[1][-1:] or "\x02") + sign), sign))
+    ends = map(_text, nlargest(BEAM, paths.get(len(raw), []), key=_ORDER))
+    return max(((score(text), text) for text in ends), default=(0, None))[1]
 
 
 def _signs(raw: list[int | None], at: int, true: str, lm: Frequencies) -> Iterator[tuple[int, str]]:
@@ -203,35 +239,36 @@ def _signs(raw: list[int | None], at: int, true: str, lm: Frequencies) -> Iterat
 
 def candidates(word: str, lm: Frequencies) -> list[tuple[float, str] | None]:
     """Score and text of a word under no channel and each channel; None: impossible."""
-    out: list[tuple[float, str] | None] = [(lm.word(word), word)]
+    score = lm.word if len(word) <= LONG else lm.stretch
+    out: list[tuple[float, str] | None] = [(score(word), word)]
     for steps in CHANNELS:
         text: str | None = word
         for wrong, true in steps:
             raw = unread(text, wrong)
-            text = None if raw is None else reread(raw, true, lm)
+            text = None if raw is None else reread(raw, true, lm, score)
             if text is None or text == word or any(c < " " or "\x7f" <= c < "\xa0" for c in text):
                 text = None
                 break
-        out.append(None if text is None else (lm.word(text), text))
+        out.append(None if text is None else (score(text), text))
     if LOST in word:
         # bytes of one sign each were lost when other bytes were read as UTF-8
-        text = _filled(word, lm)
-        out.append(None if text is None else (lm.word(text), text))
-        out[0] = (out[0][0] - 40, word)
+        text = _filled(word, lm, score)
+        out.append(None if text is None else (score(text), text))
+        out[0] = (out[0][0] - LOST_PRICE * max(1, word.count(LOST) / DOZEN), word)
     else:
         out.append(None)
     return out
 
 
-def _filled(word: str, lm: Frequencies) -> str | None:
+def _filled(word: str, lm: Frequencies, score: Callable[[str], float]) -> str | None:
     """The word with the likeliest signs for lost ones, if they aren't most of it."""
-    lost = word.count(LOST)
-    if lost > MOST_LOST or lost * 2 >= len(word):
+    if word.count(LOST) * 2 >= len(word):
         return None
-    paths = [(0.0, "")]
+    paths: list[Path] = [(0.0, "", None)]
     for c in word:
-        paths = sorted(((s + lm.step((t[-1:] or "\x02") + x), t + x) for s, t in paths for x in (lm.alphabet() if c == LOST else (c,))), reverse=True)[:BEAM]
-    best = max(((lm.word(t), t) for _, t in paths), default=None)
+        options = lm.alphabet() if c == LOST else (c,)
+        paths = nlargest(BEAM, (_longer(p, p[0] + lm.step((p[1][-1:] or "\x02") + x), x) for p in paths for x in options), key=_ORDER)
+    best = max(((score(t), t) for t in map(_text, paths)), default=None)
     return best[1] if best and all(lm.words[_slot(p, WORD_SLOTS)] > 0 for p in PART.findall(best[1])) else None
 
 
@@ -248,7 +285,9 @@ class Restorer:
                 self.known.clear()
             found = candidates(word, self.lm)
             scores = np.array([-1e9 if x is None else x[0] for x in found])
-            self.known[word] = found = (scores, [None if x is None else x[1] for x in found], bool((scores[1:] > scores[0]).any()))
+            found = (scores, [None if x is None else x[1] for x in found], bool((scores[1:] > scores[0]).any()))
+            if len(word) <= LONG:  # a long stretch hardly comes again
+                self.known[word] = found
         return found
 
     def __call__(self, text: str) -> tuple[str, int, int]:
@@ -265,8 +304,7 @@ class Restorer:
         if text.isascii():
             return text, 0, 0
         words = list(WORD.finditer(text))
-        # very long stretches without a blank are looked at in pieces, all of them
-        of = [self._of(m[0]) if len(m[0]) <= 400 else self._of_long(m[0]) for m in words]
+        of = [self._of(m[0]) for m in words]
         if not any(x[2] for x in of) and LOST not in text and not _CONTROL.search(text):
             return text, 0, 0
         best, back = None, []
@@ -293,12 +331,6 @@ class Restorer:
                 garbled, left = garbled + 1, left + 1
         return "".join([*out, text[at:]]), garbled, left
 
-    def _of_long(self, word: str):
-        pieces = [self._of(word[i : i + 400]) for i in range(0, len(word), 400)]
-        scores = np.maximum(sum(p[0] for p in pieces), -1e9)
-        texts = [None if any(p[1][k] is None for p in pieces) else "".join(p[1][k] for p in pieces) for k in range(len(scores))]
-        return scores, texts, bool((scores[1:] > scores[0]).any())
-
 
 _CONTROL = re.compile(r"[\x80-\x84\x86-\x9f]")
 
