@@ -276,6 +276,39 @@ def rows(records: DataFrame, metadata: DataFrame, schemas: DataFrame) -> DataFra
     return out.dropDuplicates(["record_id"])
 
 
+def first_rows(records: DataFrame, metadata: DataFrame, schemas: DataFrame) -> DataFrame:
+    """``csv_id, first, cells`` of the first two records of each file, under its real delimiter and encoding, whether
+    they are rows or not.
+
+    ``cells`` are the fields, decoded and unquoted; bytes that the encoding doesn't have become U+FFFD, an unknown
+    encoding counts as UTF-8, a null record has null.
+    """
+    best = file_delimiters(tried(records, metadata, schemas)).withColumnRenamed("csv_id", "own")
+    source = _joined(records.where("record_no <= 2"), metadata, schemas)
+    source = source.join(best, F.col("csv_id").eqNullSafe(F.col("own"))).select("csv_id", "first", "encoding", "delimiter_no", "raw_record")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            first, encodings, own, raw = (part.column(k).to_pylist() for k in range(1, 5))
+            known = [codec(e) or "utf-8" for e in encodings]
+            index = Index([r or b"" for r in raw], first, known)
+            found = [index.delimiters(sign) for sign in DELIMITERS]
+            cells: list[list[str] | None] = []
+            for i, (r, d) in enumerate(zip(raw, own)):
+                at, begin, count = found[d]
+                cuts = at[begin[i] : begin[i] + count[i]].tolist()
+                bounds = zip([int(index.start[i]), *(c + 1 for c in cuts)], [*cuts, int(index.end[i])])
+                cells.append(None if r is None else [_unquoted(index.blob[a:b]).decode(known[i], "replace") for a, b in bounds])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells, pa.list_(pa.string()))], ["csv_id", "first", "cells"])
+
+    return bounded_batches(source).mapInArrow(run, "csv_id bigint, first boolean, cells array<string>")
+
+
+def _unquoted(raw: bytes) -> bytes:
+    """A field without enclosing quotes; blanks stay."""
+    return raw[1:-1].replace(b'""', b'"') if len(raw) > 1 and raw[:1] == raw[-1:] == b'"' else raw
+
+
 def typed(parsed: DataFrame, schema: list[tuple[str, str]], schema_id: int) -> DataFrame:
     """The rows of one schema with its columns by name and type; ``schema`` lists name and type in order.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import tags
-from docloom.operators import layout, structure, tables
+from docloom.operators import csv_rows, layout, structure, tables
 from docloom.plans.basics import WS
 from docloom.tables import read, read_wide
 
@@ -253,11 +253,12 @@ _NUM = r"^(?:-?[0-9]+|-?[0-9]+\.[0-9]+|-?[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?|-
  p AS (SELECT csv_id, max(f) FILTER (record_no = 1) AS a, max(f) FILTER (record_no = 2) AS b FROM r GROUP BY csv_id)
 SELECT csv_id, len(list_filter(list_filter(a, lambda x: trim(x) <> ''), lambda x: regexp_matches(trim(x), '{_NUM}'))) = 0 AND (len(list_filter(b, lambda x: regexp_matches(trim(x), '{_NUM}'))) > 0 OR len(list_distinct(a)) = len(a)) AS header FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
 def csv_header_detect(spark, d):
-    """Whether files with semicolons open with a header, by their first two records where these are plain ASCII without quotes."""
-    plain = F.hex("raw_record").rlike("^(?:[2-7][0-9A-F]|09)*$") & ~F.hex("raw_record").contains("22") & ~F.hex("raw_record").contains("5C")
-    records = read(spark, d, "csv_records").where((F.col("record_no") <= 2) & plain).join(read(spark, d, "csv_metadata").where("delimiter = 'Semicolon (;)'").select("csv_id"), "csv_id")
-    rows = records.groupBy("csv_id").agg(*(F.max(F.when(F.col("record_no") == k, F.split(F.col("raw_record").cast("string"), ";", -1))).alias(n) for k, n in ((1, "a"), (2, "b"))))
-    return rows.where("a IS NOT NULL AND b IS NOT NULL").select("csv_id", tables.has_header(F.col("a"), F.col("b")).alias("header"))
+    """Whether files open with a header, by their first two records under their real delimiter and encoding; null
+    where the first is missing, no header where there is one record alone. The SQL has files said to have semicolons alone, of plain ASCII without quotes."""
+    parsed = csv_rows.first_rows(*(read(spark, d, t) for t in ("csv_records", "csv_metadata", "csv_schemas")))
+    rows = parsed.groupBy("csv_id").agg(F.max(F.when(F.col("first"), F.col("cells"))).alias("a"), F.max(F.when(~F.col("first"), F.col("cells"))).alias("b"))
+    header = F.when(F.col("a").isNotNull(), F.col("b").isNotNull() & F.coalesce(tables.has_header(F.col("a"), F.col("b")), F.lit(False)))
+    return rows.select("csv_id", header.alias("header"))
 
 
 _GRID = """grid AS (SELECT p_partkey % 50 AS t, (p_partkey // 50)::INT AS r, c AS c, CASE WHEN (p_partkey * 7 + c * 3) % 5 < 2 THEN '' ELSE p_brand || c END AS v FROM part, (SELECT unnest(range(0, 4))::INT AS c))"""

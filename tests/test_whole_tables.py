@@ -75,3 +75,21 @@ def test_normalises_texts_of_any_line_ends(spark, tmp_path):
     got = {r.text_id: r.clean for r in basics.text_normalize(spark, str(tmp_path)).collect()}
     python = lambda t: re.sub(r"[ \t]+$", "", re.sub("\n{3,}", "\n\n", t), flags=re.MULTILINE).strip()
     assert got == {i: None if t is None else python(t) for i, t in enumerate(texts)}
+
+
+def test_headers_of_files_of_any_delimiter_and_encoding(spark, tmp_path):
+    body = [("a", "1"), ("b", "2"), ("c", "3")]
+    of = lambda d, head, e="utf-8": [d.join(x).encode(e) for x in (head, *body)]
+    files = {
+        1: ("Comma (,)", "utf-8", of(",", ("name", "n")), True), 2: ("Tab (\\t)", "utf-8", of("\t", ("name", "n")), True), 3: ("Pipe (|)", "utf-8", of("|", ("name", "n")), True), 4: (None, None, of(";", ("x", "4")), False),
+        5: ("Semicolon (;)", "utf-8", of(",", ("name", "n")), True), 6: ("Comma (,)", "cp949", of(",", ("이름", "수"), "cp949"), True), 7: ("Comma (,)", "utf-8", [b'"na,me","n"', b'"a","1"', b'"b","2"'], True),
+        8: ("Comma (,)", "utf-8", of(",", ("7", "n")), False), 9: ("Comma (,)", "no such", of(",", ("näme", "n")), True), 10: ("Comma (,)", "utf-8", [None, *of(",", ("a", "1"))], None), 11: ("Comma (,)", "utf-8", [b"name,n"], False),
+        12: ("Comma (,)", "latin-1", of(",", ("né", "né"), "latin-1")[:1] + [b"a,b", b"c,d"], False),
+    }
+    records = [(100 * k + i, k, i, None if r is None else bytearray(r)) for k, (_, _, rs, _) in files.items() for i, r in enumerate(rs, 1)]
+    spark.createDataFrame(records, "record_id long, csv_id long, record_no int, raw_record binary").write.parquet(f"{tmp_path}/csv_records.parquet")
+    meta = [(k, 1, e, d, "No", None) for k, (d, e, _, _) in files.items()]
+    spark.createDataFrame(meta, "csv_id long, schema_id int, encoding string, delimiter string, has_header string, extracted_at timestamp").write.parquet(f"{tmp_path}/csv_metadata.parquet")
+    spark.createDataFrame([(1, 0, "STRING", True), (1, 1, "STRING", True)], "schema_id int, col_index int, col_type string, nullable boolean").write.parquet(f"{tmp_path}/csv_schemas.parquet")
+    got = {r.csv_id: r.header for r in relational.csv_header_detect(spark, str(tmp_path)).collect()}
+    assert got == {k: want for k, (*_, want) in files.items()}
