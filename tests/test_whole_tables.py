@@ -93,3 +93,28 @@ def test_headers_of_files_of_any_delimiter_and_encoding(spark, tmp_path):
     spark.createDataFrame([(1, 0, "STRING", True), (1, 1, "STRING", True)], "schema_id int, col_index int, col_type string, nullable boolean").write.parquet(f"{tmp_path}/csv_schemas.parquet")
     got = {r.csv_id: r.header for r in relational.csv_header_detect(spark, str(tmp_path)).collect()}
     assert got == {k: want for k, (*_, want) in files.items()}
+
+
+def test_cells_of_all_orders_against_brute_force(spark, tmp_path):
+    orders = [(k, k * k * 31 % 1501) for k in range(1000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    sheets = defaultdict(set)
+    for k, c in orders:
+        h = (c * 7919 + k * 104729) % 1000003
+        sheets[k // 50].add((h % 12, h // 12 % 9))
+    box = lambda cells: (min(r for r, _ in cells), max(r for r, _ in cells), min(c for _, c in cells), max(c for _, c in cells), len(cells))
+    got = {r.sheet: (r.row0, r.row1, r.col0, r.col1, r.cells) for r in relational.cells_bbox(spark, str(tmp_path)).collect()}
+    assert got == {s: box(cells) for s, cells in sheets.items()} and len(got) == 20
+    want = []
+    for s, cells in sheets.items():
+        group = {x: {x} for x in cells}
+        for r, c in cells:
+            for near in ((r + 1, c), (r, c + 1)):
+                if near in cells and group[near] is not group[r, c]:
+                    group[r, c] |= group[near]
+                    for x in group[near]:
+                        group[x] = group[r, c]
+        want += [(s, *box(g)) for g in {id(g): g for g in group.values()}.values()]
+    rows = [(r.sheet, r.row0, r.row1, r.col0, r.col1, r.cells) for r in relational.regions_components(spark, str(tmp_path)).collect()]
+    assert sorted(rows) == sorted(want) and len(want) > 60
+    assert any(a < b and c == d for _, a, b, c, d, _ in rows) and {r for cells in sheets.values() for r, _ in cells} == set(range(12))
