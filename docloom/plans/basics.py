@@ -42,9 +42,9 @@ def text_clean_code(spark, d):
 _ENDS = r"regexp_replace(regexp_replace(text, '\n{3,}', E'\n\n', 'g'), '(?m)[ \t]+$', '', 'g')"
 
 
-@query(f"SELECT text_id, {_strip(_ENDS)} AS clean FROM extracted_texts WHERE NOT contains(text, E'\\r')")
+@query(f"SELECT text_id, {_strip(_ENDS)} AS clean FROM extracted_texts")
 def text_normalize(spark, d):
-    """The last normalisation of extracted text, on all texts; null stays null. The SQL has those without a carriage return alone."""
+    """The last normalisation of extracted text, on all texts; null stays null."""
     return read(spark, d, "extracted_texts").select("text_id", text.normalised(F.col("text")).alias("clean"))
 
 

@@ -246,15 +246,10 @@ def csv_delim_score(spark, d):
     return tables.delimiter_scores(read(spark, d, "supplier").select(key.alias("file"), line.alias("line")), "file", "line")
 
 
-_NUM = r"^(?:-?[0-9]+|-?[0-9]+\.[0-9]+|-?[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?|-?[0-9]+(?:\.[0-9]+)?%|\$-?[0-9]+(?:\.[0-9]+)?|₩-?[0-9]+(?:,[0-9]{3})*)$"
-
-
-@query(rf"""WITH r AS (SELECT csv_id, record_no, any_value(string_split(raw_record::BLOB::VARCHAR, ';')) AS f FROM csv_records JOIN csv_metadata USING (csv_id) WHERE delimiter = 'Semicolon (;)' AND record_no <= 2 AND regexp_matches(hex(raw_record), '^(?:[2-7][0-9A-F]|09)*$') AND NOT contains(hex(raw_record), '22') AND NOT contains(hex(raw_record), '5C') GROUP BY ALL),
- p AS (SELECT csv_id, max(f) FILTER (record_no = 1) AS a, max(f) FILTER (record_no = 2) AS b FROM r GROUP BY csv_id)
-SELECT csv_id, len(list_filter(list_filter(a, lambda x: trim(x) <> ''), lambda x: regexp_matches(trim(x), '{_NUM}'))) = 0 AND (len(list_filter(b, lambda x: regexp_matches(trim(x), '{_NUM}'))) > 0 OR len(list_distinct(a)) = len(a)) AS header FROM p WHERE a IS NOT NULL AND b IS NOT NULL""")
+@query()
 def csv_header_detect(spark, d):
     """Whether files open with a header, by their first two records under their real delimiter and encoding; null
-    where the first is missing, no header where there is one record alone. The SQL has files said to have semicolons alone, of plain ASCII without quotes."""
+    where the first is missing, no header where there is one record alone."""
     parsed = csv_rows.first_rows(*(read(spark, d, t) for t in ("csv_records", "csv_metadata", "csv_schemas")))
     rows = parsed.groupBy("csv_id").agg(F.max(F.when(F.col("first"), F.col("cells"))).alias("a"), F.max(F.when(~F.col("first"), F.col("cells"))).alias("b"))
     header = F.when(F.col("a").isNotNull(), F.col("b").isNotNull() & F.coalesce(tables.has_header(F.col("a"), F.col("b")), F.lit(False)))
@@ -366,11 +361,11 @@ def upper_median_gap(spark, d):
     return gaps.groupBy("user_id").agg(layout.upper_median(F.collect_list("gap")).alias("median"))
 
 
-_BOXES = """boxes AS (SELECT l_orderkey // 100 AS page, l_orderkey * 10 + l_linenumber AS id, ((l_partkey * 37) % 500)::DOUBLE AS x0, ((l_suppkey * 53 + l_linenumber * 11) % 700)::DOUBLE AS y0, ((l_partkey * 37) % 500 + 40 + l_linenumber * 5)::DOUBLE AS x1, ((l_suppkey * 53 + l_linenumber * 11) % 700 + 20 + l_linenumber * 3)::DOUBLE AS y1, l_linenumber = 1 AS is_table, (l_partkey % 100)::DOUBLE AS score FROM lineitem WHERE l_orderkey < 3000)"""
+_BOXES = """boxes AS (SELECT l_orderkey // 100 AS page, l_orderkey * 10 + l_linenumber AS id, ((l_partkey * 37) % 500)::DOUBLE AS x0, ((l_suppkey * 53 + l_linenumber * 11) % 700)::DOUBLE AS y0, ((l_partkey * 37) % 500 + 40 + l_linenumber * 5)::DOUBLE AS x1, ((l_suppkey * 53 + l_linenumber * 11) % 700 + 20 + l_linenumber * 3)::DOUBLE AS y1, l_linenumber = 1 AS is_table, (l_partkey % 100)::DOUBLE AS score FROM lineitem)"""
 
 
 def _boxes(spark, d):
-    """Boxes on pages out of all order lines, as no table here holds boxes. ``_BOXES`` has those of the first orders alone."""
+    """Boxes on pages out of all order lines, as no table here holds boxes."""
     c = F.col
     x0, y0 = (c("l_partkey") * 37) % 500, (c("l_suppkey") * 53 + c("l_linenumber") * 11) % 700
     double = lambda e: e.cast("double")
@@ -390,13 +385,13 @@ def bbox_text_outside_tables(spark, d):
     return layout.outside(b.where(~F.col("is_table")), b.where("is_table"), ["page"]).select("page", "id")
 
 
-@query(f"WITH {_BOXES} SELECT a.page, a.id, b.id AS table_id, round({_SHARE}, 6) AS share FROM boxes a JOIN boxes b ON b.page = a.page AND b.is_table AND NOT a.is_table AND {_SHARE} > 0")
+@query(f"WITH {_BOXES} SELECT a.page, a.id, b.id AS table_id, {_SHARE} AS share FROM boxes a JOIN boxes b ON b.page = a.page AND b.is_table AND NOT a.is_table AND {_SHARE} > 0")
 def bbox_overlap_join(spark, d):
     """Blocks of text and the tables they overlap."""
     b = _boxes(spark, d)
     a = b.where(~F.col("is_table")).select("page", "id", *(F.col(x).alias(f"a_{x}") for x in ("x0", "y0", "x1", "y1")))
     t = b.where("is_table").select("page", F.col("id").alias("table_id"), *(F.col(x).alias(f"b_{x}") for x in ("x0", "y0", "x1", "y1")))
-    return a.join(t, "page").withColumn("share", F.round(layout.overlap_share("a_", "b_"), 6)).where("share > 0").select("page", "id", "table_id", "share")
+    return a.join(t, "page").withColumn("share", layout.overlap_share("a_", "b_")).where("share > 0").select("page", "id", "table_id", "share")
 
 
 @query(f"WITH {_BOXES} SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY y0, x0, id) AS no FROM boxes")
@@ -420,12 +415,11 @@ def complexity_score(spark, d):
     return layout.complexity(pages).select("page", "score", "level")
 
 
-_CELLS = """cells AS (SELECT DISTINCT o_custkey % 20 AS sheet, (o_orderkey % 12)::INT AS r, (o_custkey % 9)::INT AS c FROM orders WHERE o_orderkey % 3 = 0)"""
+_CELLS = """cells AS (SELECT DISTINCT o_orderkey // 50 AS sheet, (h % 12)::INT AS r, (h // 12 % 9)::INT AS c FROM (SELECT o_orderkey, (o_custkey * 7919 + o_orderkey * 104729) % 1000003 AS h FROM orders))"""
 
 
 def _cells(spark, d):
-    """Cells on sheets out of all orders, fifty to a sheet, sparse as their places hang on a hash of customer and order.
-    ``_CELLS`` has another fold, of a third of the orders."""
+    """Cells on sheets out of all orders, fifty to a sheet, sparse as their places hang on a hash of customer and order."""
     h = (F.col("o_custkey") * 7919 + F.col("o_orderkey") * 104729) % 1000003
     return read(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 50).alias("sheet"), (h % 12).cast("int").alias("row"), (F.floor(h / 12) % 9).cast("int").alias("col")).distinct()
 

@@ -44,9 +44,9 @@ def test_boxes_of_all_orders_against_brute_force(spark, boxes):
     order = [(p, b[0], i) for p, bs in every.items() for i, b in enumerate(sorted(bs, key=lambda b: (b[2], b[1], b[0])), 1)]
     assert rows(relational.reading_order, "page", "id", "no") == sorted(order)
     pairs = [(p, a, t) for p, bs in every.items() for a in bs if not a[5] for t in bs if t[5]]
-    hits = [(p, a[0], t[0], round(shared(a, t) / area(a), 6)) for p, a, t in pairs if shared(a, t)]
+    hits = [(p, a[0], t[0], shared(a, t) / area(a)) for p, a, t in pairs if shared(a, t)]
     got = rows(relational.bbox_overlap_join, "page", "id", "table_id", "share")
-    assert [g[:3] for g in got] == [h[:3] for h in sorted(hits)] and [g[3] for g in got] == pytest.approx([h[3] for h in sorted(hits)], abs=2e-6)
+    assert [g[:3] for g in got] == [h[:3] for h in sorted(hits)] and [g[3] for g in got] == pytest.approx([h[3] for h in sorted(hits)], rel=1e-12)
     covered = {(p, a[0]) for p, a, t in pairs if shared(a, t) >= 0.5 * area(a)}
     assert rows(relational.bbox_text_outside_tables, "page", "id") == sorted({(p, b[0]) for p, bs in every.items() for b in bs if not b[5]} - covered)
     kept = []
