@@ -67,6 +67,21 @@ def test_zone_tables_agree_with_the_library():
             assert (k == 0 and moments == {u}) or (k == 1 and not moments) or (k == 2 and len(moments) == 2)
 
 
+def test_tables_of_all_zones_agree_with_the_library_in_all_years():
+    from zoneinfo import ZoneInfo, available_timezones
+
+    import numpy as np
+
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    for k, zone in enumerate(sorted(available_timezones())):
+        transitions, offsets = zones.table(zone)
+        moments = [-60_000_000_000 + 7_919_000_000 * i + 104_729 * k for i in range(39)] + [int(t) + d for t in transitions[-3:] for d in (-1, 0) if t < 250_000_000_000]
+        moments += [int(t) + d for t in transitions[k % 5 :: 37][:12] for d in (-1, 0, 1)]
+        got = offsets[np.searchsorted(transitions, moments, "right")]
+        assert got.tolist() == [int((epoch + timedelta(seconds=m)).astimezone(ZoneInfo(zone)).utcoffset().total_seconds()) for m in moments], zone
+    assert zones.table("No/Such") is None and zones.table("../zone.tab") is None
+
+
 def test_pairs_against_brute_force(spark):
     rows = [(i, i % 3 if i % 7 else None, v, None, None, "UTC") for i, v in enumerate(["2024-10-05T18:29:40Z", "2024-10-05 18:29:40", "D:20241005182940Z", "1728152980", None, "", "2024-10-05T18:29:41Z"] * 3)]
     rows += rows[:2]
