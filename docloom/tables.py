@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ def read_wide(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, fallback: str = "/tmp/docloom-checkpoints") -> str:
-    """The folder all executors share; the fallback is set only where the session names none."""
+    """The folder all executors share; the fallback is for a session on one machine that names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = fallback
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -36,6 +40,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as a table in the shared folder and read back: lineage is cut, and what is read of them later
+    is only the columns asked for."""
+    at = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def stripped(c: Column) -> Column:
     """``str.strip`` for Unicode white space; SQL ``trim`` knows only the blank."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
