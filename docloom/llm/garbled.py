@@ -19,6 +19,7 @@ from functools import lru_cache
 from heapq import nlargest
 from math import log
 from operator import itemgetter
+from uuid import uuid4
 from zlib import crc32
 
 import numpy as np
@@ -367,15 +368,31 @@ def candidates(word: str, lm: Frequencies) -> list[tuple[float, str] | None]:
     """Score and text of a word under no channel and each channel; None: impossible."""
     score = lm.word if len(word) <= LONG else lm.stretch
     out: list[tuple[float, str] | None] = [(score(word), word)]
+    # several channels begin alike, and several encodings give the same bytes
+    undone: dict[tuple[str, str], bytes | Raw | None] = {}
+    read: dict[tuple[bytes | tuple, str], str | None] = {}
+    scored: dict[str, float] = {}
     for steps in CHANNELS:
         text: str | None = word
         for wrong, true in steps:
-            raw = unread(text, wrong)
-            text = None if raw is None else reread(raw, true, lm, score)
-            if text is None or text == word or _NOT_TEXT.search(text):
+            if (text, wrong) not in undone:
+                undone[text, wrong] = unread(text, wrong)
+            raw = undone[text, wrong]
+            if raw is None:
                 text = None
                 break
-        out.append(None if text is None else (score(text), text))
+            key = (raw if isinstance(raw, bytes) else tuple(raw), true)
+            if key not in read:
+                read[key] = reread(raw, true, lm, score)
+            text = read[key]
+            if text is None:
+                break
+        if text is None or text == word or _NOT_TEXT.search(text):
+            out.append(None)
+            continue
+        if text not in scored:
+            scored[text] = score(text)
+        out.append((scored[text], text))
     if LOST in word:
         # bytes of one sign each were lost when other bytes were read as UTF-8
         text = _filled(word, lm, score)
@@ -496,6 +513,10 @@ def frequencies(texts: DataFrame, text: str) -> tuple:
     return _arrays(common), _arrays(_common(pairs, MOST_PAIRS)), _arrays(signs), float(parts.agg(F.sum("n")).first()[0] or 0)
 
 
+#: The restorer of the last frequencies that a worker was given.
+_RESTORERS: dict[str, Restorer] = {}
+
+
 def restore(df: DataFrame, key: str = "html_id", text: str = "html_text") -> DataFrame:
     """``key, restored, garbled, left``: the text with garbled words restored, how many were garbled, and how many of
     them stay because too many bytes are lost; one row for each row.
@@ -503,10 +524,14 @@ def restore(df: DataFrame, key: str = "html_id", text: str = "html_text") -> Dat
     Null texts give null and 0, empty ones stay. What the row says of its encoding isn't asked. Words are
     looked at whole, and in texts of any length.
     """
-    shared = df.sparkSession.sparkContext.broadcast(frequencies(df, text))
+    shared, token = df.sparkSession.sparkContext.broadcast(frequencies(df, text)), uuid4().hex
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fix = Restorer(Frequencies(*shared.value))
+        # a worker meets the same words in one task after another
+        if token not in _RESTORERS:
+            _RESTORERS.clear()
+            _RESTORERS[token] = Restorer(Frequencies(*shared.value))
+        fix = _RESTORERS[token]
         for part in parts:
             done = [(None, 0, 0) if t is None else fix(t) for t in part.column(1).to_pylist()]
             new, garbled, left = zip(*done) if done else ((), (), ())
