@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.tables import bounded_batches, checkpointed
+from docloom.tables import bounded_batches, stored
 
 DELIMITERS = (b",", b"\t", b";", b"|")
 OK, ENCODING, QUOTING, COLUMNS, VALUE, HEADER = range(6)
@@ -30,7 +30,7 @@ DECIMAL = tuple(
     re.compile(p)
     for p in (r"-?\d+", r"-?\d+\.\d+", r"-?\d{1,3}(,\d{3})*(\.\d+)?", r"-?\d+(\.\d+)?%", r"\$-?\d+(\.\d+)?", r"₩-?\d+(,\d{3})*")
 )
-INT = re.compile(rb"[+-]?[0-9]+")
+INT = re.compile(rb"[+-]?0*([0-9]+)")
 DOUBLE = re.compile(rb"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 DATE = re.compile(rb"([0-9]{4})-([0-9]{2})-([0-9]{2})")
 
@@ -46,7 +46,8 @@ def codec(name: str | None) -> str:
 
 
 def _is_int(v: bytes) -> bool:
-    return INT.fullmatch(v) is not None and len(v) < 4000 and -(1 << 31) <= int(v) < 1 << 31
+    m = INT.fullmatch(v)
+    return m is not None and len(m[1]) <= 10 and -(1 << 31) <= (-int(m[1]) if v[:1] == b"-" else int(m[1])) < 1 << 31
 
 
 def _is_date(v: bytes) -> bool:
@@ -196,7 +197,8 @@ def schema_signatures(schemas: DataFrame) -> DataFrame:
 
 def _joined(records: DataFrame, metadata: DataFrame, schemas: DataFrame) -> DataFrame:
     files = metadata.groupBy("csv_id").agg(F.min_by(F.struct("schema_id", "encoding", "has_header"), F.struct("extracted_at", "schema_id")).alias("m")).select("csv_id", "m.*")
-    files = files.join(schema_signatures(schemas), "schema_id", "left")
+    # kept, so that the size of it is known when the join is planned: a small one goes to the records, not they to it
+    files = stored(files.join(schema_signatures(schemas), "schema_id", "left"))
     header = (F.col("record_no") == 1) & F.coalesce(F.col("has_header") == "Yes", F.lit(False))
     return records.select("record_id", "csv_id", "record_no", "raw_record").join(files, "csv_id", "left").select(
         "record_id", "csv_id", "schema_id", F.coalesce(F.col("record_no") == 1, F.lit(False)).alias("first"),
@@ -238,8 +240,8 @@ def judged(records: DataFrame, metadata: DataFrame, schemas: DataFrame) -> DataF
     of fields is right; a record delivered more than once counts as often as it is there. A file with no
     records has no delimiter. Columns beyond those named in the tables are not looked at.
     """
-    tries = checkpointed(tried(records, metadata, schemas))
-    best = file_delimiters(tries)
+    tries = stored(tried(records, metadata, schemas))
+    best = stored(file_delimiters(tries))
     code = F.expr("shiftright(code, 3 * delimiter_no) & 7")
     best = best.withColumnRenamed("csv_id", "own")
     return tries.join(best, F.col("csv_id").eqNullSafe(F.col("own"))).select("record_id", "csv_id", "delimiter_no", code.alias("outcome"))
@@ -258,7 +260,7 @@ def rows(records: DataFrame, metadata: DataFrame, schemas: DataFrame) -> DataFra
     ``values`` are the fields in the schema's order, decoded, unquoted, without surrounding blanks; an
     empty field is null. ``typed`` casts them.
     """
-    best = file_delimiters(checkpointed(tried(records, metadata, schemas)))
+    best = stored(file_delimiters(stored(tried(records, metadata, schemas))))
     source = _joined(records, metadata, schemas)
     source = source.join(best.withColumnRenamed("csv_id", "own"), F.col("csv_id").eqNullSafe(F.col("own"))).drop("own")
 
