@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.llm.tokens import count
-from docloom.tables import checkpointed
+from docloom.tables import checkpointed, stored
 
 #: Tokens of a block.
 BLOCK = 4096
@@ -104,15 +104,19 @@ def schedule(spark, plans: list[Plan]) -> DataFrame:
     # each source draws by its share of the slots, so that it has about as many as it has blocks
     bounds, low = [], 0.0
     for p in plans:
-        bounds.append((p.source, low, low + p.slots / total, p.slots))
+        bounds.append((p.source, low, low + p.slots / total))
         low += p.slots / total
+    bounds[-1] = (*bounds[-1][:2], 2.0)
     slack = 64 + total // 1000
     # the products of large numbers lose digits; stretches start afresh, each at its own offset
     point = F.expr(f"((id % {STRETCH}) * {GOLDEN!r}D + (id div {STRETCH}) * 0.7548776662466927D) % 1.0D")
-    which: Column = F.lit(bounds[-1][0])
-    for source, _, high, _ in reversed(bounds[:-1]):
-        which = F.when(F.col("_x") < high, F.lit(source)).otherwise(which)
-    slots = spark.range(total + slack * len(plans)).withColumn("_x", point).select(F.col("id").alias("slot"), F.expr(f"id div {STRETCH}").alias("_stretch"), which.alias("source"))
+    # a point finds its source by the buckets that the source's stretch lies in; a bucket holds two or so
+    buckets = 4 * len(bounds)
+    held = [(k, source, low, high) for source, low, high in bounds for k in range(min(int(low * buckets), buckets - 1), min(int(high * buckets), buckets - 1) + 1)]
+    stretches = spark.createDataFrame(held, "_bucket int, source string, _low double, _high double")
+    points = spark.range(total + slack * len(plans)).withColumn("_x", point).withColumn("_bucket", F.least(F.floor(F.col("_x") * buckets), F.lit(buckets - 1)).cast("int"))
+    inside = (F.col("_x") >= F.col("_low")) & (F.col("_x") < F.col("_high"))
+    slots = points.join(F.broadcast(stretches), "_bucket").where(inside).select(F.col("id").alias("slot"), F.expr(f"id div {STRETCH}").alias("_stretch"), "source")
     counts = slots.groupBy("source", "_stretch").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("source").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -155,9 +159,10 @@ def shares(documents: DataFrame, targets: DataFrame, block: int = BLOCK, total:
     """
     sized = _sized(documents)
     mixed, _ = _mixed(sized, targets, block, total, seed)
-    got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"), F.max("copy").alias("most_copies"))
+    # a row for each source of the mixture, of which there are at most MOST_SOURCES
+    got = stored(mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"), F.max("copy").alias("most_copies")))
+    whole = got.agg(F.sum("tokens")).first()[0] or 1
     goals = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("target_share"))
     every = sized.select("source").distinct().join(goals, "source", "full").join(got, "source", "left")
-    whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return every.select("source", "target_share", F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("documents"), zero("most_copies"))

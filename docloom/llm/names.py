@@ -244,15 +244,14 @@ def nicknames(names: DataFrame, register: DataFrame) -> DataFrame:
     seen = beside.where(F.length("short") > 1).distinct().join(families, "family").join(families.withColumnRenamed("family", "short"), "short", "left_anti")
     of = seen.groupBy("short").agg(F.count("*").alias("families"))
     hits = seen.join(persons, "family").groupBy("short", "given").agg(F.count("*").alias("hits"))
-    total = persons.agg(F.countDistinct("family").alias("all_families"))
+    total = families.count()
     common = persons.groupBy("given").agg(F.count("*").alias("bearers"))
     share = F.col("hits") / F.col("families")
-    chance = F.col("bearers") / F.col("all_families")
+    chance = F.col("bearers") / F.lit(total)
     # a token that a slip explains as well is no nickname
     slipped = F.max(F.when(_one_slip("short", "given"), F.col("hits"))).over(Window.partitionBy("short"))
     hits = hits.withColumn("slipped", F.coalesce(slipped, F.lit(0))).where("hits > slipped").drop("slipped")
-    # one row, of a count
-    known = hits.join(of, "short").join(common, "given").crossJoin(F.broadcast(total))
+    known = hits.join(of, "short").join(common, "given")
     return known.where((share >= LEAST_SHARE) & (F.col("hits") * F.log(share / chance) >= LEAST_EVIDENCE) & (F.col("short") != F.col("given"))).select("short", "given")
 
 

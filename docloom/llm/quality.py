@@ -50,7 +50,7 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     lone = df.select(F.col(key), F.col(text).alias("_t"))
     body = lone.withColumn("_b", F.regexp_replace(F.regexp_replace("_t", FRAME, ""), ACCENT, "$1"))
     lines = F.filter(F.split("_b", r"\r?\n|\r"), lambda x: x.rlike(r"\S"))
-    plain = F.regexp_replace("_b", r"\\[A-Za-z]+\*?|\$[^$\n]{0,400}\$", " ")
+    plain = F.regexp_replace("_b", r"\\[A-Za-z]+\*?|\$[^$\n]*\$", " ")
     parts = body.withColumns({"_l": lines, "_p": F.lower(plain)})
     # sentences are compared by their letters, as lines may be broken elsewhere
     sentence = F.filter(F.split(F.regexp_replace("_p", r"[^\p{L}.!?]+", ""), "[.!?]+"), lambda x: F.length(x) > 12)
