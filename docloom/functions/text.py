@@ -73,6 +73,11 @@ def roman(number: Column) -> Column:
     return F.when(number.between(1, 3999), F.concat(*parts))
 
 
+def private_count(text: Column) -> Column:
+    """The number of private-use signs."""
+    return F.length(F.regexp_replace(text, r"[^\x{E000}-\x{F8FF}\x{F0000}-\x{FFFFD}]", "")).cast("long")
+
+
 def private_share(text: Column) -> Column:
     """Share of private-use signs; text with many needs recognition anew."""
     kept = F.regexp_replace(text, r"[^\x{E000}-\x{F8FF}]", "")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.tables import by_group
+
 
 def overlap_share(a: str, b: str) -> Column:
     """Area that two boxes share against the area of the first; a and b are prefixes of x0, y0, x1, y1."""
@@ -27,22 +31,6 @@ def outside(inner: DataFrame, tables: DataFrame, keys: list[str], share: float =
     return marked.join(prefixed, condition, "left_anti").select(*inner.columns)
 
 
-def best_candidates(boxes: DataFrame, keys: list[str], order: str, limit: float = 0.3) -> DataFrame:
-    """``keys, kept``: boxes of a page taken from the best score down, none that shares ``limit`` of either with one taken."""
-    fields = ("x0", "y0", "x1", "y1", "id")
-    ranked = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col(order)).alias("o"), *(F.col(f) for f in fields)))).alias("all"))
-
-    def clash(a: Column, b: Column) -> Column:
-        w = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
-        h = F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
-        area = lambda x: (x["x1"] - x["x0"]) * (x["y1"] - x["y0"])
-        return w * h >= limit * F.least(area(a), area(b))
-
-    empty = F.filter("all", lambda x: F.lit(False))
-    kept = F.aggregate("all", empty, lambda acc, x: F.when(F.exists(acc, lambda k: clash(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return ranked.select(*keys, F.transform(kept, lambda x: x["id"]).alias("kept"))
-
-
 def gap_groups(df: DataFrame, keys: list[str], order: str, gap) -> DataFrame:
     """The rows with ``group_no``: a new group begins where the order jumps by more than ``gap``."""
     window = Window.partitionBy(*keys).orderBy(order)
@@ -61,39 +49,97 @@ def reading_order(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return boxes.withColumn("no", F.row_number().over(Window.partitionBy(*keys).orderBy("y0", "x0", "id")))
 
 
-def complexity(pages: DataFrame) -> DataFrame:
-    """The pages with ``score`` and ``level`` from the counts of their elements."""
-    c = F.col
-    share = lambda x, most: F.least(c(x) / most, F.lit(1.0))
-    score = F.when(c("columns") >= 7, F.lit(0.9)).otherwise(0.30 * share("drawings", 100) + 0.20 * share("images", 20) + 0.25 * share("blocks", 60) + 0.25 * share("columns", 4))
-    level = F.when(c("score") >= 0.9, "extreme").when(c("score") >= 0.65, "complex").when(c("score") >= 0.35, "moderate").otherwise("simple")
-    return pages.withColumn("score", F.round(score, 6)).withColumn("level", level)
+def _touching(cells: set[tuple[int, int]]) -> Iterator[list[int]]:
+    """Rectangle (first and last row, first and last column) and number of the cells of each group that touch by a side."""
+    left = set(cells)
+    while left:
+        todo, part = [left.pop()], []
+        while todo:
+            r, c = todo.pop()
+            part.append((r, c))
+            for near in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
+                if near in left:
+                    left.remove(near)
+                    todo.append(near)
+        rows, cols = [r for r, _ in part], [c for _, c in part]
+        yield [min(rows), max(rows), min(cols), max(cols), len(part)]
+
+
+_RECTANGLE = {"region": "int", "row0": "int", "row1": "int", "col0": "int", "col1": "int", "cells": "int"}
 
 
 def cell_components(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, region, row0, row1, col0, col1, cells``: rectangles around cells that touch by a side.
+    """``keys, region, row0, row1, col0, col1, cells``: rectangles around cells that touch by a side, from top to bottom.
 
     One sheet is labelled at a time, as its cells are a bounded grid; sheets go in parallel.
     """
-    import pandas as pd
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = set(zip(pdf["row"], pdf["col"]))
-        head = {k: pdf[k].iloc[0] for k in keys}
-        out = []
-        while left:
-            todo, part = [left.pop()], []
-            while todo:
-                r, c = todo.pop()
-                part.append((r, c))
-                for near in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
-                    if near in left:
-                        left.remove(near)
-                        todo.append(near)
-            rs, cs = [r for r, _ in part], [c for _, c in part]
-            out.append((min(rs), min(cs), max(rs), max(cs), len(part)))
-        out.sort()
-        return pd.DataFrame([{**head, "region": i, "row0": a, "col0": b, "row1": c, "col1": d, "cells": n} for i, (a, b, c, d, n) in enumerate(out)])
-
-    kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
-    return cells.select(*keys, "row", "col").groupBy(*keys).applyInPandas(label, f"{kinds}, region int, row0 int, col0 int, row1 int, col1 int, cells int")
+
+    def label(rows: list[tuple]) -> Iterator[tuple]:
+        yield from ((i, *box) for i, box in enumerate(sorted(_touching(set(rows)), key=lambda b: (b[0], b[2], b[1], b[3]))))
+
+    return by_group(cells.select(*keys, F.col("row").cast("int"), F.col("col").cast("int")), keys, label, _RECTANGLE)
+
+
+#: Rows and columns of a sheet that are looked at for tables.
+MOST_ROWS, MOST_COLUMNS = 1000, 100
+
+
+def sheet_regions(cells: DataFrame, keys: list[str], rows: int = MOST_ROWS, columns: int = MOST_COLUMNS) -> DataFrame:
+    """``keys, region, row0, row1, col0, col1, cells``: the tables of a sheet, out of ``row, col, bordered`` of its cells that hold something or have a border.
+
+    Cells with a border that touch are a table, then those without one; tables that overlap or have at most one row
+    or column between them are one, until none are left to join. Only the first ``rows`` and ``columns`` count, as the
+    reader of sheets has it; ``cells`` counts those of a table.
+    """
+    inside = cells.where(F.col("row").between(1, rows) & F.col("col").between(1, columns))
+    picked = inside.groupBy(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).agg(F.bool_or(F.coalesce("bordered", F.lit(False))).alias("bordered"))
+
+    def each(held: list[tuple]) -> Iterator[tuple]:
+        boxes = [b for kind in (True, False) for b in sorted(_touching({(r, c) for r, c, border in held if border == kind}))]
+        joined = True
+        while joined:
+            joined, kept = False, []
+            for box in boxes:
+                hit = next((k for k in kept if max(k[0], box[0]) - min(k[1], box[1]) <= 2 and max(k[2], box[2]) - min(k[3], box[3]) <= 2), None)
+                if hit is None:
+                    kept.append(box)
+                else:
+                    hit[:] = min(hit[0], box[0]), max(hit[1], box[1]), min(hit[2], box[2]), max(hit[3], box[3]), hit[4] + box[4]
+                    joined = True
+            boxes = kept
+        yield from ((i, *box) for i, box in enumerate(sorted(boxes, key=lambda b: (b[0], b[2]))))
+
+    return by_group(picked, keys, each, _RECTANGLE)
+
+
+def _edges(prefix: str) -> list[Column]:
+    return [F.col(f"{prefix}{x}") for x in ("row0", "row1", "col0", "col1")]
+
+
+def ranges_adjacent(a: str, b: str, tolerance: int = 1) -> Column:
+    """Whether two ranges of cells have at most ``tolerance`` rows and columns between them; a and b are prefixes of row0, row1, col0, col1."""
+    (a0, a1, a2, a3), (b0, b1, b2, b3) = _edges(a), _edges(b)
+    gap = lambda low, high: F.greatest(F.lit(0), low - high - 1)
+    return (gap(F.greatest(a0, b0), F.least(a1, b1)) <= tolerance) & (gap(F.greatest(a2, b2), F.least(a3, b3)) <= tolerance)
+
+
+def ranges_overlap(a: str, b: str) -> Column:
+    """Whether two ranges of cells share one."""
+    (a0, a1, a2, a3), (b0, b1, b2, b3) = _edges(a), _edges(b)
+    return (a0 <= b1) & (b0 <= a1) & (a2 <= b3) & (b2 <= a3)
+
+
+def range_contains(a: str, row: Column, col: Column) -> Column:
+    """Whether a cell lies in a range."""
+    a0, a1, a2, a3 = _edges(a)
+    return row.between(a0, a1) & col.between(a2, a3)
+
+
+def merged_range(a: str, b: str) -> list[Column]:
+    """The range around two ranges, as row0, row1, col0 and col1."""
+    return [(F.least if k in (0, 2) else F.greatest)(x, y) for k, (x, y) in enumerate(zip(_edges(a), _edges(b)))]
+
+
+def has_border(*styles: Column) -> Column:
+    """Whether one of the sides of a cell has a style that isn't ``none``."""
+    return F.exists(F.array(*styles), lambda s: F.coalesce(s != "none", F.lit(False)))

@@ -71,16 +71,6 @@ def page_by_breaks(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (1 + F.sum((F.col("l_returnflag") == "R").cast("long")).over(window)).alias("page"))
 
 
-@query(f"""WITH {_BOXES}, s AS (SELECT page, count(*) AS cells, count(*) FILTER (is_table) AS wide, count(DISTINCT floor(y0 / 50)) AS lines, avg((x1 - x0) * (y1 - y0)) AS area FROM boxes GROUP BY page),
-p AS (SELECT page, 1.0::DOUBLE - CASE WHEN cells < 4 THEN 0.4 ELSE 0 END - CASE WHEN lines < 2 THEN 0.3 ELSE 0 END - CASE WHEN wide > cells / 2 THEN 0.2 ELSE 0 END - CASE WHEN area < 100 THEN 0.1 ELSE 0 END AS score FROM s) SELECT page, round(score, 6) AS score, score >= 0.35 AS accepted FROM p""")
-def table_validate_score(spark, d):
-    """Candidates scored by penalties, accepted from a limit up."""
-    s = _boxes(spark, d).groupBy("page").agg(F.count("*").alias("cells"), F.count(F.when(F.col("is_table"), 1)).alias("wide"), F.countDistinct(F.floor(F.col("y0") / 50)).alias("lines"), F.avg((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
-    off = lambda c, v: F.when(c, F.lit(v)).otherwise(F.lit(0.0))
-    score = F.lit(1.0) - off(F.col("cells") < 4, 0.4) - off(F.col("lines") < 2, 0.3) - off(F.col("wide") > F.col("cells") / 2, 0.2) - off(F.col("area") < 100, 0.1)
-    return s.select("page", F.round(score, 6).alias("score"), (score >= 0.35).alias("accepted"))
-
-
 @query("SELECT handler_name, count(*) AS records, count(DISTINCT file_id) AS files, count(title) AS titled, count(*) FILTER (page_count IS NOT NULL) AS paged, max(word_count) AS most_words FROM doc_metadata GROUP BY handler_name")
 def metadata_by_handler(spark, d):
     """What handlers found, by handler."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.plans import basics, files, more, problems, relational
+from docloom.plans import basics, files, more, pages, problems, relational
 
-_CATALOGS = (basics.CATALOG, relational.CATALOG, files.CATALOG, more.CATALOG)
+_CATALOGS = (basics.CATALOG, relational.CATALOG, files.CATALOG, more.CATALOG, pages.CATALOG)
 
 
 def queries() -> dict:

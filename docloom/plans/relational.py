@@ -400,21 +400,6 @@ def reading_order(spark, d):
     return layout.reading_order(_boxes(spark, d), ["page"]).select("page", "id", F.col("no").cast("long").alias("no"))
 
 
-@query()
-def nms_select(spark, d):
-    """Candidates of a page without those that overlap a better one."""
-    return layout.best_candidates(_boxes(spark, d), ["page"], "score").select("page", F.explode("kept").alias("id"))
-
-
-@query(f"""WITH {_BOXES}, p AS (SELECT page, count(*) AS blocks, count(*) FILTER (is_table) AS images, count(DISTINCT floor(x0 / 100)) AS columns, count(*) FILTER (score > 50) AS drawings FROM boxes GROUP BY page), s AS (SELECT page, CASE WHEN columns >= 7 THEN 0.9::DOUBLE ELSE 0.30 * least(drawings / 100, 1.0) + 0.20 * least(images / 20, 1.0) + 0.25 * least(blocks / 60, 1.0) + 0.25 * least(columns / 4, 1.0) END AS score FROM p)
-SELECT page, round(score, 6)::DOUBLE AS score, CASE WHEN round(score, 6) >= 0.9 THEN 'extreme' WHEN round(score, 6) >= 0.65 THEN 'complex' WHEN round(score, 6) >= 0.35 THEN 'moderate' ELSE 'simple' END AS level FROM s""")
-def complexity_score(spark, d):
-    """Complexity of pages by the counts of their elements."""
-    b = _boxes(spark, d)
-    pages = b.groupBy("page").agg(F.count("*").alias("blocks"), F.count(F.when(F.col("is_table"), 1)).alias("images"), F.countDistinct(F.floor(F.col("x0") / 100)).alias("columns"), F.count(F.when(F.col("score") > 50, 1)).alias("drawings"))
-    return layout.complexity(pages).select("page", "score", "level")
-
-
 _CELLS = """cells AS (SELECT DISTINCT o_orderkey // 50 AS sheet, (h % 12)::INT AS r, (h // 12 % 9)::INT AS c FROM (SELECT o_orderkey, (o_custkey * 7919 + o_orderkey * 104729) % 1000003 AS h FROM orders))"""
 
 
@@ -435,3 +420,40 @@ def cells_bbox(spark, d):
 def regions_components(spark, d):
     """Rectangles around cells that touch."""
     return layout.cell_components(_cells(spark, d), ["sheet"]).drop("region")
+
+
+@query()
+def sheet_regions(spark, d):
+    """Tables of sheets, by borders first."""
+    cells = _cells(spark, d).select("sheet", (F.col("row") * 3 + 1).alias("row"), (F.col("col") * 2 + 1).alias("col"), ((F.col("row") + F.col("col")) % 3 == 0).alias("bordered"))
+    right = cells.withColumn("col", F.col("col") + 1)
+    return layout.sheet_regions(cells.unionByName(right), ["sheet"])
+
+
+_RANGES = """r AS (SELECT o_custkey // 20 AS sheet, o_orderkey AS id, (o_orderkey * 7 % 40)::INT AS row0, (o_orderkey * 7 % 40 + o_custkey % 5)::INT AS row1, (o_orderkey * 11 % 30)::INT AS col0, (o_orderkey * 11 % 30 + o_orderkey % 4)::INT AS col1 FROM orders)"""
+
+
+@query(f"""WITH {_RANGES} SELECT a.sheet, a.id AS id_a, b.id AS id_b, greatest(0, greatest(a.row0, b.row0) - least(a.row1, b.row1) - 1) <= 1 AND greatest(0, greatest(a.col0, b.col0) - least(a.col1, b.col1) - 1) <= 1 AS adjacent,
+ NOT (a.row1 < b.row0 OR b.row1 < a.row0 OR a.col1 < b.col0 OR b.col1 < a.col0) AS overlap, b.row0 BETWEEN a.row0 AND a.row1 AND b.col0 BETWEEN a.col0 AND a.col1 AS holds, (greatest(a.row1, b.row1) - least(a.row0, b.row0) + 1) * (greatest(a.col1, b.col1) - least(a.col0, b.col0) + 1) AS around
+ FROM r a JOIN r b ON a.sheet = b.sheet AND b.id = a.id + 1""")
+def range_predicates(spark, d):
+    """Ranges of cells held against the next of their sheet."""
+    c = F.col
+    ranges = read(spark, d, "orders").select(
+        F.floor(c("o_custkey") / 20).alias("sheet"), c("o_orderkey").alias("id"), (c("o_orderkey") * 7 % 40).cast("int").alias("row0"), (c("o_orderkey") * 7 % 40 + c("o_custkey") % 5).cast("int").alias("row1"),
+        (c("o_orderkey") * 11 % 30).cast("int").alias("col0"), (c("o_orderkey") * 11 % 30 + c("o_orderkey") % 4).cast("int").alias("col1"),
+    )
+    a = ranges.select("sheet", *(c(x).alias(f"a_{x}") for x in ranges.columns[1:]), (c("id") + 1).alias("id_b"))
+    b = ranges.select("sheet", *(c(x).alias(f"b_{x}") for x in ranges.columns[1:]), c("id").alias("id_b"))
+    row0, row1, col0, col1 = layout.merged_range("a_", "b_")
+    return a.join(b, ["sheet", "id_b"]).select(
+        "sheet", c("a_id").alias("id_a"), "id_b", layout.ranges_adjacent("a_", "b_").alias("adjacent"), layout.ranges_overlap("a_", "b_").alias("overlap"), layout.range_contains("a_", c("b_row0"), c("b_col0")).alias("holds"), ((row1 - row0 + 1) * (col1 - col0 + 1)).alias("around")
+    )
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, (l_linenumber % 2 = 0) OR coalesce(nullif(l_returnflag, 'N') <> 'none', false) OR false AS bordered FROM lineitem")
+def border_test(spark, d):
+    """Whether cells have a border."""
+    none, c = F.lit("none"), F.col
+    sides = [F.when(c("l_linenumber") % 2 == 0, "thin").otherwise(none), F.when(c("l_returnflag") != "N", c("l_returnflag")), F.lit(None).cast("string"), none]
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", layout.has_border(*sides).alias("bordered"))

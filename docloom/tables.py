@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,6 +53,31 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def by_group(df: DataFrame, keys: list[str], each: Callable[[list[tuple]], Iterable[tuple]], fields: dict[str, str]) -> DataFrame:
+    """``keys`` and ``fields`` of what a function makes of the rows of each group, one group held at a time.
+
+    For groups of a bounded size, such as the elements of a page; the rows come without their keys, sorted. Many
+    small groups cost one pass over a partition, not a call each.
+    """
+    others = [c for c in df.columns if c not in keys]
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), *(f"`{n}` {t}" for n, t in fields.items())])
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for part in parts for row in zip(*(c.to_pylist() for c in part.columns)))
+        held: list[tuple] = []
+        for key, group in groupby(rows, lambda r: r[: len(keys)]):
+            held += ((*key, *made) for made in each([r[len(keys) :] for r in group]))
+            if len(held) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], kinds.names)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), kinds)], kinds.names)
+
+    ordered = df.select(*keys, *others).repartition(*keys).sortWithinPartitions(*keys, *others)
+    return bounded_batches(ordered).mapInArrow(run, schema)
+
+
 def stripped(c: Column) -> Column:
     """``str.strip`` for Unicode white space; SQL ``trim`` knows only the blank."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -49,19 +49,11 @@ def test_boxes_of_all_orders_against_brute_force(spark, boxes):
     assert [g[:3] for g in got] == [h[:3] for h in sorted(hits)] and [g[3] for g in got] == pytest.approx([h[3] for h in sorted(hits)], rel=1e-12)
     covered = {(p, a[0]) for p, a, t in pairs if shared(a, t) >= 0.5 * area(a)}
     assert rows(relational.bbox_text_outside_tables, "page", "id") == sorted({(p, b[0]) for p, bs in every.items() for b in bs if not b[5]} - covered)
-    kept = []
-    for p, bs in every.items():
-        taken = []
-        for b in sorted(bs, key=lambda b: (-b[6], *b[1:5], b[0])):
-            if all(shared(k, b) < 0.3 * min(area(k), area(b)) for k in taken):
-                taken.append(b)
-        kept += [(p, b[0]) for b in taken]
-    assert rows(relational.nms_select, "page", "id") == sorted(kept)
 
 
 def test_pages_of_all_orders(spark, boxes):
     every = pages()
-    for f in (relational.complexity_score, more.table_continued, more.table_validate_score):
+    for f in (more.table_continued,):
         assert sorted(r.page for r in f(spark, boxes).collect()) == sorted(every), f.__name__
     held = defaultdict(int)
     for r in more.cluster_1d(spark, boxes).collect():
