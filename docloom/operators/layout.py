@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.grid import rectangles, touching
 from docloom.tables import by_group
 
 
@@ -49,22 +50,6 @@ def reading_order(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return boxes.withColumn("no", F.row_number().over(Window.partitionBy(*keys).orderBy("y0", "x0", "id")))
 
 
-def _touching(cells: set[tuple[int, int]]) -> Iterator[list[int]]:
-    """Rectangle (first and last row, first and last column) and number of the cells of each group that touch by a side."""
-    left = set(cells)
-    while left:
-        todo, part = [left.pop()], []
-        while todo:
-            r, c = todo.pop()
-            part.append((r, c))
-            for near in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
-                if near in left:
-                    left.remove(near)
-                    todo.append(near)
-        rows, cols = [r for r, _ in part], [c for _, c in part]
-        yield [min(rows), max(rows), min(cols), max(cols), len(part)]
-
-
 _RECTANGLE = {"region": "int", "row0": "int", "row1": "int", "col0": "int", "col1": "int", "cells": "int"}
 
 
@@ -75,7 +60,7 @@ def cell_components(cells: DataFrame, keys: list[str]) -> DataFrame:
     """
 
     def label(rows: list[tuple]) -> Iterator[tuple]:
-        yield from ((i, *box) for i, box in enumerate(sorted(_touching(set(rows)), key=lambda b: (b[0], b[2], b[1], b[3]))))
+        yield from ((i, *box) for i, box in enumerate(sorted(touching(set(rows)), key=lambda b: (b[0], b[2], b[1], b[3]))))
 
     return by_group(cells.select(*keys, F.col("row").cast("int"), F.col("col").cast("int")), keys, label, _RECTANGLE)
 
@@ -95,19 +80,7 @@ def sheet_regions(cells: DataFrame, keys: list[str], rows: int = MOST_ROWS, colu
     picked = inside.groupBy(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).agg(F.bool_or(F.coalesce("bordered", F.lit(False))).alias("bordered"))
 
     def each(held: list[tuple]) -> Iterator[tuple]:
-        boxes = [b for kind in (True, False) for b in sorted(_touching({(r, c) for r, c, border in held if border == kind}))]
-        joined = True
-        while joined:
-            joined, kept = False, []
-            for box in boxes:
-                hit = next((k for k in kept if max(k[0], box[0]) - min(k[1], box[1]) <= 2 and max(k[2], box[2]) - min(k[3], box[3]) <= 2), None)
-                if hit is None:
-                    kept.append(box)
-                else:
-                    hit[:] = min(hit[0], box[0]), max(hit[1], box[1]), min(hit[2], box[2]), max(hit[3], box[3]), hit[4] + box[4]
-                    joined = True
-            boxes = kept
-        yield from ((i, *box) for i, box in enumerate(sorted(boxes, key=lambda b: (b[0], b[2]))))
+        yield from ((i, *box) for i, box in enumerate(rectangles({(r, c): border for r, c, border in held})))
 
     return by_group(picked, keys, each, _RECTANGLE)
 

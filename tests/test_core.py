@@ -78,22 +78,6 @@ def test_structure(spark):
     assert sorted((x.s, x.e, x.kinds) for x in structure.merged_regions(r, "id").collect()) == [(0, 5, "a"), (5, 9, "b+c"), (20, 22, "d")]
 
 
-def test_nms_and_components_against_brute_force(spark):
-    import random
-
-    r = random.Random(1)
-    boxes = [(i % 3, i, float(x := r.randint(0, 80)), float(y := r.randint(0, 80)), float(x + 20), float(y + 20), float(r.randint(0, 1000))) for i in range(60)]
-    df = spark.createDataFrame(boxes, "page int, id int, x0 double, y0 double, x1 double, y1 double, score double")
-    got = {x.page: x.kept for x in layout.best_candidates(df, ["page"], "score").collect()}
-    for page in range(3):
-        kept = []
-        for b in sorted((b for b in boxes if b[0] == page), key=lambda b: (-b[6], b[2], b[3], b[4], b[5], b[1])):
-            w = lambda a: max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))  # noqa: E731, B023
-            if all(w(k) < 0.3 * 400 for k in kept):
-                kept.append(b)
-        assert got[page] == [b[1] for b in kept]
-
-
 def test_sources():
     assert decode.decode("é".encode("utf-16"))[0] == "é" and decode.decode(b"\xef\xbb\xbfa\r\nb") == ("a\nb", "utf-8")
     assert decode.decode("가나".encode("cp949"))[0] == "가나" and decode.decode_html(b'<meta charset="euc-kr">' + "가".encode("euc-kr"))[0].endswith("가")
