@@ -21,7 +21,7 @@ from docloom.functions.formats import CATEGORIES, SIGNATURES
 from docloom.functions.render import LABELS
 from docloom.operators.chunkers import chunk
 from docloom.sources import decode, delimited, jsonpaths, ole, ooxml, pdf, rtf, webpage
-from docloom.sources.grid import Cell, as_markdown
+from docloom.sources.grid import Cell, as_html, as_markdown, rectangles
 from docloom.tables import bounded_batches
 
 
@@ -79,10 +79,12 @@ def _image(data: bytes, ext: str) -> Read:
     return Read(f"[Image:{hashlib.sha256(data).hexdigest()[:16]}.{kind}]", {"format": kind, "size": str(len(data))})
 
 
-def _old(reader: Callable[[ole.Compound], str]) -> Callable[[bytes, str], Read]:
+def _old(reader: Callable[[ole.Compound], str | tuple[str, list]]) -> Callable[[bytes, str], Read]:
     def read(data: bytes, ext: str) -> Read:
         c = ole.Compound(data)
-        return Read(reader(c), ole.properties(c))
+        got = reader(c)
+        text, tables = (got, []) if isinstance(got, str) else got
+        return Read(text, ole.properties(c), tables)
 
     return read
 
@@ -92,25 +94,62 @@ def _old_workbook(data: bytes, ext: str) -> Read:
     parts, tables = [], []
     for name, cells in ole.workbook_cells(c):
         parts.append(f"[Sheet: {name}]")
-        if cells:
-            r0, r1, c0, c1 = min(r for r, _ in cells), max(r for r, _ in cells), min(k for _, k in cells), max(k for _, k in cells)
-            rows = [[Cell(cells.get((r, k), ""), header=r == r0) for k in range(c0, c1 + 1)] for r in range(r0, r1 + 1)]
+        regions = rectangles(dict.fromkeys(cells, False))
+        for no, box in enumerate(regions, 1):
+            rows = ooxml.region_rows(cells, [], box)
             tables.append(rows)
-            parts.append(as_markdown(rows))
+            parts.append(f"[Table {no}]\n{as_markdown(rows)}" if len(regions) > 1 else as_markdown(rows))
     return Read("\n\n".join(parts), ole.properties(c), tables)
 
 
+def _ends(e, name: str) -> list:
+    return [x for x in e if x.tag.endswith("}" + name)]
+
+
+def _hwpx_table(table, tables: list) -> str:
+    """A table by the addresses of its cells: one cell as its text, one column as paragraphs, else HTML."""
+    grid: dict[tuple[int, int], Cell] = {}
+    for tr in _ends(table, "tr"):
+        for tc in _ends(tr, "tc"):
+            number = lambda child, key, rest: next((int(x.get(key)) for x in _ends(tc, child) if (x.get(key) or "").isdigit()), rest)  # noqa: B023, E731
+            inner = _ends(tc, "subList") or [tc]
+            text = "\n".join(t for t in (_hwpx_paragraph(p, tables) for p in _ends(inner[0], "p")) if t.strip())
+            row = number("cellAddr", "rowAddr", 0)
+            grid[row, number("cellAddr", "colAddr", 0)] = Cell(text, max(1, number("cellSpan", "rowSpan", 1)), max(1, number("cellSpan", "colSpan", 1)), row == 0)
+    if not grid:
+        return ""
+    said = lambda key: int(table.get(key)) if (table.get(key) or "").isdigit() else 0
+    n_rows, n_cols = said("rowCnt") or max(r for r, _ in grid) + 1, said("colCnt") or max(c for _, c in grid) + 1
+    if (n_rows, n_cols) == (1, 1):
+        return next(iter(grid.values())).text
+    if n_cols == 1:
+        return "\n\n".join(c.text for _, c in sorted(grid.items(), key=lambda x: x[0]) if c.text)
+    by_row: dict[int, list[Cell]] = {}
+    for (r, _), cell in sorted(grid.items(), key=lambda x: x[0]):
+        by_row.setdefault(r, []).append(cell)
+    tables.append([by_row[r] for r in sorted(by_row)])
+    return as_html(tables[-1])
+
+
+def _hwpx_paragraph(p, tables: list) -> str:
+    """Text and tables of a paragraph's runs, in order."""
+    out = []
+    for run in _ends(p, "run"):
+        for e in run:
+            if e.tag.endswith("}t"):
+                out.append("".join(e.itertext()))
+            elif e.tag.endswith("}tbl"):
+                out.append("\n" + _hwpx_table(e, tables) + "\n")
+    return "".join(out).strip("\n")
+
+
 def _hwpx(package: ooxml.Package) -> tuple[str, list]:
-    """Paragraphs of the sections of a packed Hangul document, sections by their number."""
+    """Paragraphs and tables of the sections of a packed Hangul document, sections by their number."""
     names = sorted((n for n in package.names if re.fullmatch(r"Contents/section\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
-    out = []
+    out, tables = [], []
     for n in names:
-        for p in package.xml(n).iter():
-            if p.tag.endswith("}p"):
-                text = "".join(t.text or "" for t in p.iter() if t.tag.endswith("}t"))
-                if text.strip():
-                    out.append(text)
-    return "\n".join(out), []
+        out += [t for t in (_hwpx_paragraph(p, tables) for p in _ends(package.xml(n), "p")) if t.strip()]
+    return "\n".join(out), tables
 
 
 def _pdf(data: bytes, ext: str) -> Read:

@@ -6,7 +6,7 @@ Each is a function of a text; ``chunked`` applies the one that fits to every row
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -111,6 +111,58 @@ def packed_table(table: str, size: int) -> list[str]:
     return out
 
 
+_RULE = re.compile(r"\|[\s\-:]+(?:\|[\s\-:]+)*\|")
+
+
+def markdown_table(text: str) -> tuple[str, list[str]] | None:
+    """The header of a Markdown table, with its rule, and its rows; None for what is none."""
+    lines = [x.strip() for x in text.strip().split("\n")]
+    if len(lines) < 3 or not lines[0].startswith("|") or not _RULE.fullmatch(lines[1]):
+        return None
+    return f"{lines[0]}\n{lines[1]}", [x for x in lines[2:] if x.startswith("|")]
+
+
+def packed_markdown(table: str, size: int, prefix: str = "") -> list[str]:
+    """The parts of a Markdown table cut between rows, each with the header; the table itself if it fits or can't be cut."""
+    whole, found = [(prefix + table).strip()] if table else [], markdown_table(table)
+    if found is None or not found[1] or len(table) + len(prefix) <= size:
+        return whole
+    head, rows = found
+    room = size - len(prefix) - 30 - len(head) - 2
+    if room <= 0:
+        return whole
+    groups, used = [[]], 0
+    for r in rows:
+        if groups[-1] and used + len(r) + 1 > room:
+            groups.append([])
+            used = 0
+        groups[-1].append(r)
+        used += len(r) + 1
+    if len(groups) == 1:
+        return whole
+    return [f"{prefix}[Table Chunk {i}/{len(groups)}]\n{head}\n" + "\n".join(g) for i, g in enumerate(groups, 1)]
+
+
+#: What a sheet's text is made of, by kind.
+SEGMENTS = (
+    ("table", re.compile(r"(?:\[Table\s*\d+\]\s*)?<table[^>]*>.*?</table>", re.DOTALL | re.IGNORECASE)), ("table", re.compile(_MARKDOWN_TABLE)), ("textbox", re.compile(r"\[textbox\].*?\[/textbox\]", re.DOTALL | re.IGNORECASE)),
+    ("chart", re.compile(r"\[chart\].*?\[/chart\]", re.DOTALL | re.IGNORECASE)), ("image", re.compile(r"\[Image:.+?\]")),
+)
+
+
+def segments(text: str) -> list[tuple[str, str]]:
+    """Tables, text boxes, charts, images and the text between them, in order; of what overlaps the first counts."""
+    found = sorted(((m.start(), m.end(), kind) for kind, pattern in SEGMENTS for m in pattern.finditer(text)), key=lambda x: x[0])
+    out, at = [], 0
+    for start, end, kind in found:
+        if start < at:
+            continue
+        out += [("text", between)] if (between := text[at:start].strip()) else []
+        out.append((kind, text[start:end].strip()))
+        at = end
+    return out + ([("text", tail)] if (tail := text[at:].strip()) else [])
+
+
 def protected(text: str, size: int, overlap: int, preserve_tables: bool = True) -> list[str]:
     """Chunks that cut no region; a region larger than a chunk stands alone, a table by rows if it may be cut."""
     regions: list[list] = []
@@ -196,39 +248,73 @@ def tabled(text: str, size: int, overlap: int, preserve_tables: bool = True, kee
     for part in parts:
         s = SHEET.match(part)
         head = prefix + (s[0] + "\n" if s else "")
-        rest = part[s.end() :] if s else part
-        at = 0
-        for t in re.finditer(r"<table[^>]*>.*?</table>", rest, re.DOTALL | re.IGNORECASE):
-            between = rest[at : t.start()].strip()
-            if keep_text and between:
-                out += [head + c for c in recursive(between, max(size - len(head), overlap + 1), overlap)]
-            out += [head + c for c in packed_table(t[0], size - len(head))]
-            at = t.end()
-        tail = rest[at:].strip()
-        if tail and (keep_text or at == 0):
-            out += [head + c for c in recursive(tail, max(size - len(head), overlap + 1), overlap)]
+        room = max(size - len(head), overlap + 1)
+        for kind, piece in segments(part[s.end() :] if s else part):
+            if kind == "table":
+                html = "<table" in piece[:40].lower()
+                out += [head + c for c in packed_table(piece, size - len(head))] if html else packed_markdown(piece, size, head)
+            elif kind == "text":
+                out += [head + c for c in recursive(piece, room, overlap)] if keep_text else []
+            else:
+                out.append(head + piece)
+    return out
+
+
+#: Strategies by name with their priority, the least first; each tells whether it takes a text and cuts it.
+Takes = Callable[[str, str], bool]
+Cuts = Callable[[str, int, int, bool, str], list[str]]
+STRATEGIES: dict[str, tuple[int, Takes, Cuts]] = {}
+
+
+def add_strategy(name: str, priority: int, takes: Takes, cuts: Cuts) -> None:
+    """Let a strategy cut the texts it takes; of several that take one the least priority counts, of equal ones the first added."""
+    STRATEGIES[name] = (priority, takes, cuts)
+
+
+def remove_strategy(name: str) -> None:
+    STRATEGIES.pop(name, None)
+
+
+add_strategy("table", 5, lambda t, e: e.lower() in TABLE_EXTENSIONS, lambda t, size, overlap, keep, e: tabled(t, size, overlap, keep))
+add_strategy("page", 10, lambda t, e: "[Page Number: " in t or "[Slide Number: " in t, lambda t, size, overlap, keep, e: paged(t, size, overlap, keep))
+add_strategy("protected", 20, lambda t, e: any(x in t for x in ("<table", "[chart]", "[textbox]", "[Image:", "[Document-Metadata]")), lambda t, size, overlap, keep, e: protected(t, size, overlap, keep))
+add_strategy("plain", 100, lambda t, e: True, lambda t, size, overlap, keep, e: plain(t, size, overlap, e))
+
+
+def _taking(text: str, extension: str) -> list[str]:
+    """The strategies that take a text, the first one first; one whose test fails takes none."""
+    out = []
+    for name in sorted(STRATEGIES, key=lambda n: STRATEGIES[n][0]):
+        try:
+            if STRATEGIES[name][1](text, extension):
+                out.append(name)
+        except Exception:  # a strategy of a user must not keep others from the text
+            continue
     return out
 
 
 def strategy_of(text: str, extension: str) -> str | None:
     if not text or not text.strip():
         return None
-    if extension.lower() in TABLE_EXTENSIONS:
-        return "table"
-    if "[Page Number: " in text or "[Slide Number: " in text:
-        return "page"
-    return "protected" if any(x in text for x in ("<table", "[chart]", "[textbox]", "[Image:", "[Document-Metadata]")) else "plain"
+    return next(iter(_taking(text, extension)), None)
 
 
 def chunk(text: str | None, extension: str = "", size: int = 1000, overlap: int = 200, preserve_tables: bool = True) -> tuple[str | None, list[str]]:
-    """The strategy that fits a text and its chunks; none for a null or blank one."""
-    kind = strategy_of(text or "", extension)
+    """The strategy that fits a text and its chunks; none for a null or blank one.
+
+    A strategy that isn't made yet (``NotImplementedError``) leaves the text to the others that take it, the last one first;
+    if there is none, it is one chunk.
+    """
     overlap = min(overlap, size - 1)
-    if kind is None:
-        return None, []
-    if kind == "plain":
-        return kind, plain(text, size, overlap, extension)
-    return kind, {"table": tabled, "page": paged, "protected": protected}[kind](text, size, overlap, preserve_tables)
+    names = _taking(text, extension) if text and text.strip() else []
+    if not names:
+        return (None, []) if not text or not text.strip() else ("whole", [text])
+    for name in (names[0], *reversed(names[1:])):
+        try:
+            return name, STRATEGIES[name][2](text, size, overlap, preserve_tables, extension)
+        except NotImplementedError:
+            continue
+    return "whole", [text]
 
 
 def chunked(df: DataFrame, keys: list[str], text: str, extension: str | None = None, size: str | int = 1000, overlap: str | int = 200, preserve_tables: str | bool = True) -> DataFrame:
@@ -238,9 +324,10 @@ def chunked(df: DataFrame, keys: list[str], text: str, extension: str | None = N
     """
     col = lambda v: F.col(v) if isinstance(v, str) else F.lit(v)
     picked = df.select(*keys, F.col(text).alias("_text"), F.coalesce(F.col(extension) if extension else F.lit(""), F.lit("")).alias("_ext"), F.coalesce(col(size), F.lit(1000)).cast("int").alias("_size"), F.coalesce(col(overlap), F.lit(0)).cast("int").alias("_overlap"), F.coalesce(col(preserve_tables), F.lit(True)).alias("_keep"))
-    n = len(keys)
+    n, known = len(keys), dict(STRATEGIES)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        STRATEGIES.update(known)
         for part in parts:
             at, kinds, nos, out = [], [], [], []
             for i, row in enumerate(zip(*(part.column(n + k).to_pylist() for k in range(5)))):

@@ -164,14 +164,35 @@ def metadata_block_en(spark, d):
     return read(spark, d, "doc_metadata").select("meta_id", "ingested_at", render.metadata_block("en").alias("block"))
 
 
-@query("""WITH m AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY ALL)
-SELECT o_orderpriority, '[chart]' || E'\\n' || 'Chart Type: Line Chart' || E'\\n' || 'Title: ' || o_orderpriority || E'\\n' || E'Category\\torders\\tfinished' || E'\\n' || string_agg(month || E'\\t' || n || E'\\t' || f, E'\\n' ORDER BY month) || E'\\n' || '[/chart]' AS block FROM m GROUP BY o_orderpriority""")
+_MONTHS = """m AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders GROUP BY ALL)"""
+
+
+@query(f"""WITH {_MONTHS} SELECT o_orderpriority, '[chart]' || E'\\n' || 'Chart Type: ' || CASE WHEN o_orderpriority < '3' THEN 'Line Chart' ELSE 'Stock Chart' END || E'\\n' || 'Title: ' || o_orderpriority || E'\\n' || '<table>' || E'\\n' || '<tr><th>Category</th><th>orders</th><th>Series</th></tr>' || E'\\n'
+ || string_agg('<tr><td>' || month || '</td><td>' || n || '</td><td>' || f || '</td></tr>', E'\\n' ORDER BY month) || E'\\n' || '</table>' || E'\\n' || '[/chart]' AS block, '[chart]' || E'\\n' || 'Title: ' || o_orderpriority || E'\\n' || string_agg(month || ': ' || n || ', ' || f, E'\\n' ORDER BY month) || E'\\n' || '[/chart]' AS plain FROM m GROUP BY o_orderpriority""")
 def chart_block(spark, d):
-    """Charts as text blocks: orders by month for each priority."""
+    """Charts as text blocks: orders by month for each priority, as HTML and as lines."""
     months = read(spark, d, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("f"))
     points = months.groupBy("o_orderpriority").agg(F.array_sort(F.collect_list(F.struct("month", F.col("n").cast("string").alias("n"), F.col("f").cast("string").alias("f")))).alias("p"))
     series = F.array(F.transform("p", lambda x: x["n"]), F.transform("p", lambda x: x["f"]))
-    return points.select("o_orderpriority", render.chart_block(F.lit("Line Chart"), F.col("o_orderpriority"), F.transform("p", lambda x: x["month"]), F.array(F.lit("orders"), F.lit("finished")), series).alias("block"))
+    kind, title, labels = F.when(F.col("o_orderpriority") < "3", "lineChart").otherwise("stockChart"), F.col("o_orderpriority"), F.transform("p", lambda x: x["month"])
+    none = F.lit(None).cast("string")
+    return points.select("o_orderpriority", render.chart_block(kind, title, labels, F.array(F.lit("orders"), none), series).alias("block"), render.chart_block(none, title, labels, F.array(F.lit("orders"), none), series, as_html=False).alias("plain"))
+
+
+@query("""SELECT meta_id, ingested_at, '[chart]' || E'\\n' || concat_ws(E'\\n', CASE WHEN meta_id % 3 = 0 THEN 'Chart Type: ' || CASE WHEN meta_id % 2 = 0 THEN 'Pie Chart' ELSE coalesce(nullif(handler_name, ''), 'x') END END, CASE WHEN title <> '' THEN 'Title: ' || title END,
+ CASE WHEN subject <> '' THEN subject WHEN meta_id % 3 <> 0 AND coalesce(title, '') = '' THEN '(Chart data could not be extracted)' END) || E'\\n' || '[/chart]' AS block FROM doc_metadata""")
+def chart_fallback(spark, d):
+    """Blocks of charts that can't be read."""
+    k = F.col("meta_id")
+    kind = F.when(k % 3 == 0, F.when(k % 2 == 0, "pieChart").otherwise(F.when(F.coalesce("handler_name", F.lit("")) == "", "x").otherwise(F.col("handler_name"))))
+    return read(spark, d, "doc_metadata").select("meta_id", "ingested_at", render.chart_fallback(kind, F.col("title"), F.col("subject")).alias("block"))
+
+
+@query(r"""SELECT text_id, contains(text, '[chart]') AND regexp_matches(text, '(?s)\[chart\].*?\[/chart\]') AS has_charts, regexp_extract_all(text, '(?s)\[chart\](.*?)\[/chart\]', 1) AS charts FROM extracted_texts WHERE text IS NOT NULL""")
+def chart_find(spark, d):
+    """Chart blocks in texts."""
+    t = F.col("text")
+    return read(spark, d, "extracted_texts").where(t.isNotNull()).select("text_id", tags.has(t, "chart").alias("has_charts"), tags.values(t, "chart").alias("charts"))
 
 
 @query(r"""SELECT p_partkey, p_size, regexp_matches(p_size::VARCHAR, '^-?[0-9]+$') AS is_number, chr(64 + (p_size % 26 = 0)::INT * 26 + (p_size % 26)::INT) AS last_letter,

@@ -8,19 +8,15 @@ import re
 from dataclasses import dataclass, field
 from xml.etree import ElementTree as ET
 
+from docloom.functions.render import CHARTS as KINDS
+from docloom.functions.render import NO_CHART as NOTHING
 from docloom.sources import ooxml
 
 C = "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
 CX = "{http://schemas.microsoft.com/office/drawing/2014/chartex}"
 A = ooxml.A
-#: Names of kinds of charts.
-KINDS = {
-    "barChart": "Bar Chart", "bar3DChart": "3D Bar Chart", "lineChart": "Line Chart", "line3DChart": "3D Line Chart", "pieChart": "Pie Chart", "pie3DChart": "3D Pie Chart", "doughnutChart": "Doughnut Chart",
-    "areaChart": "Area Chart", "area3DChart": "3D Area Chart", "scatterChart": "Scatter Chart", "radarChart": "Radar Chart", "surfaceChart": "Surface Chart", "surface3DChart": "3D Surface Chart", "bubbleChart": "Bubble Chart", "stockChart": "Stock Chart",
-}
 #: Kinds whose points have an x instead of a category.
 POINTS = ("scatterChart", "bubbleChart")
-NOTHING = "(Chart data could not be extracted)"
 
 
 @dataclass

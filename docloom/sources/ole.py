@@ -6,6 +6,8 @@ import re
 import struct
 import zlib
 
+from docloom.sources.grid import Cell, as_html
+
 MAGIC = bytes.fromhex("D0CF11E0A1B11AE1")
 _FREE, _END = 0xFFFFFFFF, 0xFFFFFFFE
 #: Property numbers of the summary stream and the fields they fill.
@@ -130,8 +132,33 @@ def clean(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[\x00-\x08\x0e-\x1f]", "", text)).strip()
 
 
-def word_text(c: Compound) -> str:
-    """Text by the piece table; by runs of two-byte letters where there is none."""
+def word_blocks(text: str) -> tuple[str, list[list[list[Cell]]]]:
+    """Text with its tables as HTML: a cell ends with a bell, a row with two; rows that follow each other are a table, one alone is a line."""
+    parts, tables, rows, lines = [], [], [], []
+
+    def flush() -> None:
+        """The rows so far as a table behind the lines before them."""
+        if len(rows) > 1:
+            tables.append([[Cell(c, header=k == 0) for c in r] for k, r in enumerate(rows)])
+            parts.extend([clean("\n".join(lines)), as_html(tables[-1])])
+            lines.clear()
+        else:
+            lines.extend("\t".join(r) for r in rows)
+        rows.clear()
+
+    for line in re.sub("\x07\x07\r?", "\x07\n", text).replace("\r", "\n").split("\n"):
+        if "\x07" in line:
+            cells = [clean(x) for x in line.split("\x07")]
+            rows.append(cells[:-1] if cells[-1] == "" else cells)
+        else:
+            flush()
+            lines.append(line)
+    flush()
+    return "\n\n".join(p for p in (*parts, clean("\n".join(lines))) if p), tables
+
+
+def word_text(c: Compound) -> tuple[str, list[list[list[Cell]]]]:
+    """Text and tables by the piece table; text by runs of two-byte letters where there is none."""
     main = c.read("WordDocument") or b""
     if len(main) >= 426 and struct.unpack_from("<H", main, 0)[0] in (0xA5EC, 0xA5DC):
         table = c.read("1Table" if struct.unpack_from("<H", main, 10)[0] & 0x0200 else "0Table") or b""
@@ -157,8 +184,8 @@ def word_text(c: Compound) -> str:
                     out.append(main[fc : fc + 2 * length].decode("utf-16-le", "replace"))
             break
         if out:
-            return clean("".join(out))
-    return "\n".join(clean(m[0].decode("utf-16-le", "replace")) for m in re.finditer(rb"(?:[\x09\x0d\x20-\x7e]\x00|[\x00-\xff][\xac-\xd7]){8,}", main))
+            return word_blocks("".join(out))
+    return "\n".join(clean(m[0].decode("utf-16-le", "replace")) for m in re.finditer(rb"(?:[\x09\x0d\x20-\x7e]\x00|[\x00-\xff][\xac-\xd7]){8,}", main)), []
 
 
 def slides_text(c: Compound) -> str:
@@ -285,31 +312,99 @@ def _shared(parts: list[bytes]) -> list[str]:
     return out
 
 
-def hangul_text(c: Compound) -> str:
-    """Paragraphs of the sections of a Hangul document: records with tag, level and size."""
+#: Tags of records of a Hangul document.
+PARAGRAPH, CONTROL, LIST, TABLE = 67, 71, 72, 77
+Record = tuple[int, int, bytes]
+
+
+def _records(data: bytes) -> list[Record]:
+    """Tag, level and payload of the records of a section."""
+    out, i = [], 0
+    while i + 4 <= len(data):
+        word = struct.unpack_from("<I", data, i)[0]
+        tag, level, size = word & 0x3FF, word >> 10 & 0x3FF, word >> 20
+        i += 4
+        if size == 0xFFF and i + 4 <= len(data):
+            size = struct.unpack_from("<I", data, i)[0]
+            i += 4
+        out.append((tag, level, data[i : i + size]))
+        i += size
+    return out
+
+
+def _hangul_table(records: list[Record], tables: list) -> str:
+    """A table out of the records below its control: one cell as its text, one column as paragraphs, else HTML."""
+    shape = next((r[2] for r in records if r[0] == TABLE and len(r[2]) >= 8), None)
+    if shape is None:
+        return ""
+    n_rows, n_cols = struct.unpack_from("<HH", shape, 4)
+    level, cells, at = records[0][1], [], None
+    for k, (tag, depth, body) in enumerate(records):
+        if tag == LIST and depth == level and len(body) >= 16:
+            cells.append((*struct.unpack_from("<4H", body, 8), k + 1))
+    ends = [c[4] - 1 for c in cells[1:]] + [len(records)]
+    texts = {(row, col): (_hangul_body(records[at:end], tables).strip(), high, wide) for (col, row, wide, high, at), end in zip(cells, ends)}
+    if (n_rows, n_cols) == (1, 1):
+        return texts.get((0, 0), ("",))[0]
+    if n_cols == 1:
+        return "\n\n".join(t for _, (t, _, _) in sorted(texts.items()) if t)
+    rows = [[Cell(texts[r, c][0], max(1, texts[r, c][1]), max(1, texts[r, c][2]), r == 0) for c in range(n_cols) if (r, c) in texts] for r in range(n_rows)]
+    tables.append(rows)
+    return as_html(rows)
+
+
+def _hangul_body(records: list[Record], tables: list) -> str:
+    """Paragraphs and tables in order; what a table holds belongs to its cells."""
+    out, k = [], 0
+    while k < len(records):
+        tag, level, body = records[k]
+        k += 1
+        if tag == PARAGRAPH:
+            out.append(_hangul_paragraph(body))
+        elif tag == CONTROL and body[:4][::-1] == b"tbl ":
+            end = next((j for j in range(k, len(records)) if records[j][1] <= level), len(records))
+            try:
+                out.append(_hangul_table(records[k:end], tables) if k < end else "")
+            except struct.error:
+                out.append("[Table Extraction Failed]")
+            k = end
+    return "\n".join(out)
+
+
+def hangul_text(c: Compound) -> tuple[str, list[list[list[Cell]]]]:
+    """Paragraphs and tables of the sections of a Hangul document; where no section can be read, what looks like text in them."""
     head = c.read("FileHeader") or b""
     packed = len(head) > 36 and struct.unpack_from("<I", head, 36)[0] & 1
     names = sorted((n for n in c.streams if re.fullmatch(r"BodyText/Section\d+", n)), key=lambda n: int(re.sub(r"\D", "", n)))
-    out = []
+    out, tables, broken = [], [], []
     for name in names:
         data = c.read(name) or b""
         if packed:
             try:
                 data = zlib.decompress(data, -15)
             except zlib.error:
+                broken.append(data)
                 continue
-        i = 0
-        while i + 4 <= len(data):
-            word = struct.unpack_from("<I", data, i)[0]
-            tag, size = word & 0x3FF, word >> 20
-            i += 4
-            if size == 0xFFF:
-                size = struct.unpack_from("<I", data, i)[0]
-                i += 4
-            if tag == 67:
-                out.append(_hangul_paragraph(data[i : i + size]))
-            i += size
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
+        out.append(_hangul_body(_records(data), tables))
+    text = re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
+    return text or "\n".join(filter(None, map(recovered, broken))), tables
+
+
+def recovered(data: bytes) -> str:
+    """What looks like text in a broken section: in what of it unpacks, from wherever that can start, else in the bytes as they are."""
+    found = []
+    for start in (0, *(m.start() for m in re.finditer(rb"\x78[\x01\x9c\xda]", data))):
+        for window in (-15, 15):
+            unpack, got = zlib.decompressobj(window), b""
+            try:
+                for k in range(start, len(data), 64):
+                    got += unpack.decompress(data[k : k + 64])
+            except zlib.error:
+                pass
+            found.append(got)
+    raw = max(found, key=len, default=b"") or data
+    runs = re.findall(rb"(?:[\x20-\x7e]\x00|[\x00-\xff][\xac-\xd7\x31]){4,}", raw)
+    return "\n".join(t for t in (r.decode("utf-16-le", "ignore").strip() for r in runs) if t)
 
 
 def _hangul_paragraph(raw: bytes) -> str:

@@ -1,4 +1,6 @@
+import io
 import struct
+import zipfile
 import zlib
 
 from docloom import engine
@@ -80,7 +82,7 @@ def test_hangul():
     head = b"HWP Document File".ljust(36, b"\0") + struct.pack("<I", 1)
     c = ole.Compound(compound({"FileHeader": head, "BodyText/Section0": packed}))
     c.streams["BodyText/Section0"] = (c.streams["BodyText/Section0"][0], 4096)
-    assert ole.hangul_text(c) == "가나 다"
+    assert ole.hangul_text(c) == ("가나 다", [])
 
 
 def test_pdf():
@@ -97,3 +99,40 @@ def test_broken_heads_are_errors_not_crashes():
         for data in (b"", b"\0", ole.MAGIC, ole.MAGIC + b"\0" * 600, b"PK\x03\x04" + b"x" * 50, b"%PDF-", b"{\\rtf1", b"\xff\xfe\x00", b"<html"):
             got, error = engine.read_one(data, ext)
             assert (got is None) == (error is not None)
+
+
+def test_tables_of_old_documents():
+    text, tables = ole.word_blocks("Head\ra\x07b\x07\x07\rc\x07\x07d\x07\x07\rTail\rlone\x07row\x07\x07\rEnd")
+    assert text.startswith("Head\n\n<table") and text.endswith("Tail\nlone\trow\nEnd") and [[c.text for c in r] for r in tables[0]][0] == ["a", "b"] and len(tables) == 1
+
+
+def record(tag, level, body):
+    return struct.pack("<I", tag | level << 10 | len(body) << 20) + body
+
+
+def test_tables_of_hangul_documents():
+    para = lambda t, level: record(66, level, b"") + record(67, level + 1, t.encode("utf-16-le"))
+    cell = lambda c, r, t: record(72, 1, struct.pack("<HHIHHHH", 1, 0, 0, c, r, 1, 1)) + para(t, 1)
+    table = lambda rows, cols, cells: record(71, 0, b" lbt" + b"\0" * 4) + record(77, 1, struct.pack("<IHH", 0, rows, cols)) + cells
+    data = para("앞", 0) + table(2, 2, cell(0, 0, "가") + cell(1, 0, "나") + cell(0, 1, "다") + cell(1, 1, "라")) + table(1, 1, cell(0, 0, "하나")) + table(2, 1, cell(0, 0, "위") + cell(0, 1, "밑")) + para("뒤", 0)
+    c = ole.Compound(compound({"FileHeader": b"\0" * 40, "BodyText/Section0": data}))
+    text, tables = ole.hangul_text(c)
+    assert text.startswith("앞\n<table") and text.endswith("하나\n위\n\n밑\n뒤") and [[x.text for x in r] for r in tables[0]] == [["가", "나"], ["다", "라"]] and len(tables) == 1
+
+
+    packed = zlib.compress("살아남은 글자들".encode("utf-16-le"))
+    assert "살아남은 글자들" in ole.recovered(b"\xff\xfe\xfd" + packed[:-4])
+
+
+def test_tables_of_packed_hangul_documents():
+    h = "http://www.hancom.co.kr/hwpml/2011/paragraph"
+    cell = lambda r, c, t, wide=1: f"<p:tc><p:subList><p:p><p:run><p:t>{t}</p:t></p:run></p:p></p:subList><p:cellAddr colAddr='{c}' rowAddr='{r}'/><p:cellSpan colSpan='{wide}' rowSpan='1'/></p:tc>"
+    table = f"<p:tbl rowCnt='2' colCnt='2'><p:tr>{cell(0, 0, 'head', 2)}</p:tr><p:tr>{cell(1, 0, 'a')}{cell(1, 1, 'b')}</p:tr></p:tbl>"
+    section = f"<s xmlns:p='{h}'><p:p><p:run><p:t>before</p:t>{table}<p:t>after</p:t></p:run></p:p><p:p><p:run><p:tbl rowCnt='1' colCnt='1'><p:tr>{cell(0, 0, 'box')}</p:tr></p:tbl></p:run></p:p></s>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("Contents/section10.xml", section.replace("before", "tenth"))
+        z.writestr("Contents/section2.xml", section)
+    got, error = engine.read_one(out.getvalue(), "hwpx")
+    assert error is None and got.text.startswith("before\n<table") and got.text.index("before") < got.text.index("tenth") and "after\nbox" in got.text
+    assert [[(c.text, c.cols) for c in r] for r in got.tables[0]] == [[("head", 2)], [("a", 1), ("b", 1)]]
