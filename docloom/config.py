@@ -27,7 +27,13 @@ class Metadata:
 class Settings:
     chunking: Chunking = field(default_factory=Chunking)
     metadata: Metadata = field(default_factory=Metadata)
-    most_bytes: int = 500 << 20
+    #: What a file may hold; None: whatever it does. What is left out is told in the warnings.
+    most_bytes: int | None = 500 << 20
+    most_rows: int | None = 100_000
+    most_columns: int | None = 1_000
+    most_values: int | None = 20_000
+    #: Seconds that a file may take; None: as long as it needs.
+    seconds: float | None = None
     options: tuple[tuple[str, Any], ...] = ()
 
     def with_chunking(self, **changes) -> Settings:
@@ -41,4 +47,5 @@ class Settings:
 
     @classmethod
     def from_dict(cls, d: dict) -> Settings:
-        return cls(Chunking(**d.get("chunking", {})), Metadata(**d.get("metadata", {})), d.get("most_bytes", 500 << 20), tuple(map(tuple, d.get("options", ()))))
+        known = {k: v for k, v in d.items() if k in ("most_bytes", "most_rows", "most_columns", "most_values", "seconds")}
+        return cls(Chunking(**d.get("chunking", {})), Metadata(**d.get("metadata", {})), **known, options=tuple(map(tuple, d.get("options", ()))))

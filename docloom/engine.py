@@ -9,10 +9,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as TooLong
+from contextvars import ContextVar, copy_context
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,16 +38,23 @@ class Read:
     encoding: str | None = None
 
 
+#: The settings that a file is read under.
+_SETTINGS: ContextVar[Settings] = ContextVar("settings", default=Settings())
+
+
 def _plain(data: bytes, ext: str) -> Read:
     text, encoding = decode.decode(data)
     kind = next((k for k, exts in CATEGORIES.items() if ext in exts.split()), "text")
-    if ext == "json" and (flat := jsonpaths.flatten(text)) is not None:
+    warnings = []
+    most = _SETTINGS.get().most_values
+    if ext == "json" and (flat := jsonpaths.flatten(text, most)) is not None:
+        warnings = [f"values beyond {most} left out"] if flat.endswith(f"\n{jsonpaths.CUT}") else []
         text = flat
     elif kind in ("code", "config", "script", "web"):
         text = text.rstrip().replace("\t", "    ")
     else:
         text = re.sub(r"\n\s*\n\s*\n+", "\n\n", text).strip()
-    return Read(text, encoding=encoding)
+    return Read(text, warnings=warnings, encoding=encoding)
 
 
 def _html(data: bytes, ext: str) -> Read:
@@ -54,8 +65,10 @@ def _html(data: bytes, ext: str) -> Read:
 
 def _csv(data: bytes, ext: str) -> Read:
     source, encoding = decode.decode(data)
-    text, cells, about = delimited.read(source, "\t" if ext == "tsv" else None)
-    return Read(text, about | {"encoding": encoding}, [cells] if cells else [], encoding=encoding)
+    limits = _SETTINGS.get()
+    text, cells, about = delimited.read(source, "\t" if ext == "tsv" else None, limits.most_rows, limits.most_columns)
+    warnings = [f"rows beyond {limits.most_rows} or columns beyond {limits.most_columns} left out"] if "truncated" in about else []
+    return Read(text, about | {"encoding": encoding}, [cells] if cells else [], warnings, encoding)
 
 
 def _package(reader: Callable) -> Callable[[bytes, str], Read]:
@@ -188,6 +201,21 @@ register("pdf", _pdf)
 register(CATEGORIES["image"] + " tiff tif", _image)
 
 
+def discover(group: str = "docloom.readers") -> list[str]:
+    """Register the readers that installed packages offer: entry points that load a pair of extensions and a reader. Those that fail are left out."""
+    from importlib.metadata import entry_points
+
+    found = []
+    for point in entry_points(group=group):
+        try:
+            extensions, reader = point.load()
+            register(extensions, reader)
+        except Exception:  # a broken package must not keep the others out
+            continue
+        found.append(point.name)
+    return found
+
+
 def is_supported(extension: str) -> bool:
     return extension.lower().lstrip(".") in registry
 
@@ -236,18 +264,35 @@ def read_one(data: bytes | None, extension: str, settings: Settings = Settings()
     try:
         if data is None:
             raise ValueError("no content")
-        if len(data) > settings.most_bytes:
+        if settings.most_bytes is not None and len(data) > settings.most_bytes:
             raise ValueError("the file is larger than allowed")
         ext = effective_extension(data, extension.lower().lstrip("."))
         if ext not in registry:
             return None, f"E_UNSUPPORTED_FORMAT: {ext}"
-        got = registry[ext](data, ext)
+        got = _within(settings, registry[ext], data, ext)
         got.text = re.sub(r"[ \t]+$", "", re.sub(r"\n{3,}", "\n\n", got.text), flags=re.MULTILINE).strip()
         return got, None
+    except TooLong:
+        return None, f"E_TIMEOUT: more than {settings.seconds} s"
     except Exception as e:
         return None, f"{code_of(e)}: {e}"
 
 
+def _within(settings: Settings, reader: Callable[[bytes, str], Read], data: bytes, ext: str) -> Read:
+    """What a reader gives under the settings, within the seconds they allow; a reader that takes longer is left to end by itself."""
+    token = _SETTINGS.set(settings)
+    try:
+        if settings.seconds is None:
+            return reader(data, ext)
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(copy_context().run, reader, data, ext).result(timeout=settings.seconds)
+        finally:
+            pool.shutdown(wait=False)
+    finally:
+        _SETTINGS.reset(token)
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """The files below a path as rows of path, extension, size and content; files of no bytes are left out by the source."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -268,16 +313,28 @@ def extracted(df: DataFrame, keys: list[str], content: str = "content", extensio
     cell = pa.struct([("content", pa.string()), ("row_span", pa.int32()), ("col_span", pa.int32()), ("is_header", pa.bool_())])
     readers = dict(registry)
 
+    kinds = [pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.list_(pa.list_(cell))), pa.string(), pa.list_(pa.string()), pa.string()]
+    names = [*keys, "text", "metadata", "tables", "encoding", "warnings", "error"]
+
+    def row(data: bytes | None, ext: str) -> tuple:
+        got, error = read_one(data, ext, settings)
+        if got is None:
+            return None, None, None, None, None, error
+        block = metadata_block(got.metadata, settings.metadata.language, settings.metadata.indent) if with_metadata else ""
+        tables = [[[{"content": c.text, "row_span": c.rows, "col_span": c.cols, "is_header": c.header} for c in r] for r in t] for t in got.tables]
+        return f"{block}\n\n{got.text}" if block else got.text, list(got.metadata.items()), tables, got.encoding, got.warnings, None
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         registry.update(readers)
         for part in parts:
+            held, first, weight = [], 0, 0
             for i in range(part.num_rows):
-                got, error = read_one(part.column(n)[i].as_py(), part.column(n + 1)[i].as_py() or "", settings)
-                block = metadata_block(got.metadata, settings.metadata.language, settings.metadata.indent) if got and with_metadata else ""
-                text = None if got is None else f"{block}\n\n{got.text}" if block else got.text
-                tables = None if got is None else [[[{"content": c.text, "row_span": c.rows, "col_span": c.cols, "is_header": c.header} for c in r] for r in t] for t in got.tables]
-                values = [pa.array([text], pa.string()), pa.array([None if got is None else list(got.metadata.items())], pa.map_(pa.string(), pa.string())), pa.array([tables], pa.list_(pa.list_(pa.list_(cell)))), pa.array([got and got.encoding], pa.string()), pa.array([got and got.warnings], pa.list_(pa.string())), pa.array([error], pa.string())]
-                yield pa.RecordBatch.from_arrays([*(part.column(k).slice(i, 1) for k in range(n)), *values], [*keys, "text", "metadata", "tables", "encoding", "warnings", "error"])
+                held.append(row(part.column(n)[i].as_py(), part.column(n + 1)[i].as_py() or ""))
+                weight += 3 * len(held[-1][0] or "") + 64
+                if weight >= 1 << 23 or i + 1 == part.num_rows:
+                    size = len(held)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k).slice(first, size) for k in range(n)), *(pa.array(c, k) for c, k in zip(zip(*held), kinds))], names)
+                    held, first, weight = [], i + 1, 0
 
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), _FIELDS])
     return bounded_batches(df.select(*keys, content, extension)).mapInArrow(run, schema)
@@ -310,24 +367,94 @@ def extracted_once(df: DataFrame, keys: list[str], kept: str, content: str = "co
     todo = keyed.dropDuplicates(["_key"])
     try:
         todo = todo.join(spark.read.parquet(kept).select("_key"), "_key", "left_anti")
-    except Exception:  # nothing is kept yet
-        pass
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # nothing is kept yet
+            raise
     extracted(todo, ["_key"], content, extension, settings).write.mode("append").parquet(kept)
-    return keyed.select(*keys, "_key").join(spark.read.parquet(kept), "_key").drop("_key")
+    # two writers may have added one content at the same time
+    return keyed.select(*keys, "_key").join(spark.read.parquet(kept).dropDuplicates(["_key"]), "_key").drop("_key")
+
+
+RESULT = f"struct<{_FIELDS.replace(' ', ': ', 1).replace(', metadata ', ', metadata: ').replace(', tables ', ', tables: ').replace(', encoding ', ', encoding: ').replace(', warnings ', ', warnings: ').replace(', error ', ', error: ')}>"
+
+
+def as_json(results: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, json``: each result as one JSON text, tables within."""
+    return results.select(*keys, F.to_json(F.struct("text", "metadata", "tables", "encoding", "warnings", "error")).alias("json"))
+
+
+def of_json(df: DataFrame, keys: list[str], json: str = "json") -> DataFrame:
+    """Results out of JSON as ``as_json`` makes it; texts that are none give nulls."""
+    return df.select(*keys, F.from_json(json, RESULT).alias("r")).select(*keys, "r.*")
+
+
+def loaded(df: DataFrame, source: str = "path", content: str = "content", extension: str = "extension", settings: Settings = Settings(), chunked: bool = False, more: dict[str, str] | None = None) -> DataFrame:
+    """``text, metadata`` of each file, or of each of its chunks: source, name and extension, the chunk's number and page.
+
+    Files that can't be read have no rows.
+    """
+    named = {"source": F.col(source), "file_name": F.regexp_extract(source, r"([^/\\]+)$", 1), "file_extension": F.lower(extension), **{k: F.lit(v) for k, v in (more or {}).items()}}
+    got = extracted(df, list(dict.fromkeys([source, extension])), content, extension, settings).where(F.col("error").isNull())
+    about = lambda extra: F.map_filter(F.map_from_arrays(F.array(*(F.lit(k) for k in (*named, *extra))), F.array(*(c.cast("string") for c in (*named.values(), *extra.values())))), lambda _, v: v.isNotNull())
+    if not chunked:
+        return got.select("text", about({}).alias("metadata"))
+    from docloom.operators import structure
+    from docloom.operators.chunkers import chunked as cut
+
+    c = settings.chunking
+    keys = list(dict.fromkeys([source, extension]))
+    pieces = structure.in_force(cut(got, keys, "text", extension, c.chunk_size, c.chunk_overlap, c.preserve_tables), source, "no", "chunk", "page")
+    return pieces.select(F.col("chunk").alias("text"), about({"chunk_index": F.col("no"), "page_number": F.col("label")}).alias("metadata"))
+
+
+def _filesystem(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
+def safe_name(name: str) -> str:
+    """A name for a file or folder; one that leads out of its folder is an error."""
+    if "/" in name or "\\" in name or "\0" in name or name in ("", ".", ".."):
+        raise ValueError(f"no name for a file: {name!r}")
+    return name
 
 
-def write_chunks(chunked: DataFrame, key: str, folder: str, prefix: str = "chunk") -> None:
-    """A Markdown file for each chunk below ``folder/key=...``, numbered from 1, named by prefix and number."""
+def write_chunks(chunked: DataFrame, key: str, folder: str, prefix: str = "chunk", separator: str = "---", header: bool = False, page: str | None = None) -> None:
+    """A Markdown file for each chunk below ``folder/key=...``, numbered from 1, named by prefix and number.
 
-    def write(rows) -> None:
-        from pathlib import Path
+    ``folder`` is a URI of any file system that all executors reach (a plain path is for a single machine or a mounted share).
+    With ``header`` comments with the chunk's number and, of a column ``page``, its page stand ahead. Written again, files stay the same.
+    """
 
+    def write(rows: Iterable) -> None:
+        system, root = _filesystem(folder)
         for r in rows:
-            name = str(r[key])
-            if "/" in name or "\\" in name or name in ("", ".", ".."):
-                raise ValueError(f"no name for a folder: {name!r}")
-            at = Path(folder) / f"{key}={name}"
-            at.mkdir(parents=True, exist_ok=True)
-            (at / f"{prefix}_{r['no'] + 1:04d}.md").write_text(r["chunk"], encoding="utf-8")
-
-    chunked.select(key, "no", "chunk").foreachPartition(write)
+            at = f"{root.rstrip('/')}/{key}={safe_name(str(r[key]))}"
+            system.create_dir(at, recursive=True)
+            head = [f"<!-- chunk_index: {r['no']} -->", *([f"<!-- page: {r[page]} -->"] if page and r[page] is not None else []), separator, ""] if header else []
+            with system.open_output_stream(f"{at}/{safe_name(prefix)}_{r['no'] + 1:04d}.md") as f:
+                f.write("\n".join([*head, r["chunk"]]).encode())
+
+    chunked.select(key, "no", "chunk", *([page] if page else [])).foreachPartition(write)
+
+
+def store_images(images: DataFrame, folder: str, key: str, name: str = "name", content: str = "bytes") -> DataFrame:
+    """``key, name, path, tag`` of images written below ``folder``, each different one once; ``folder`` as for ``write_chunks``.
+
+    A name that leads out of the folder is an error.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _filesystem(folder)
+        system.create_dir(root, recursive=True)
+        for part in parts:
+            paths = []
+            for n, data in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                paths.append(f"{root.rstrip('/')}/{safe_name(n)}")
+                with system.open_output_stream(paths[-1]) as f:
+                    f.write(data)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(paths, pa.string()), pa.array([f"[Image:{p}]" for p in paths], pa.string())], [key, name, "path", "tag"])
+
+    kind = images.schema[key].dataType.simpleString()
+    return bounded_batches(images.select(key, name, content)).mapInArrow(run, f"`{key}` {kind}, `{name}` string, path string, tag string")

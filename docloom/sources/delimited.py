@@ -9,8 +9,8 @@ from statistics import mean, pstdev
 
 from docloom.sources.grid import Cell, as_html
 
-#: Limits of what a file may hold.
-MOST_ROWS, MOST_COLUMNS, SAMPLE = 100_000, 1_000, 20
+#: Lines that are looked at for the delimiter.
+SAMPLE = 20
 DELIMITERS = (",", "\t", ";", "|")
 NAMES = {",": "Comma (,)", "\t": "Tab (\\t)", ";": "Semicolon (;)", "|": "Pipe (|)"}
 _NUMBER = re.compile(r"-?\d+|-?\d+\.\d+|-?\d{1,3}(,\d{3})*(\.\d+)?|-?\d+(\.\d+)?%|\$-?\d+(\.\d+)?|₩-?\d+(,\d{3})*")
@@ -36,20 +36,28 @@ def sniff(text: str) -> tuple[str, float]:
     return best[0], best[2]
 
 
-def parse(text: str, delimiter: str, most_rows: int = MOST_ROWS) -> tuple[list[list[str]], bool]:
-    """Rows that aren't blank, and whether there were more than allowed; a plain split where quoting is broken."""
+def parse(text: str, delimiter: str, most_rows: int | None = None, most_columns: int | None = None) -> tuple[list[list[str]], bool]:
+    """Rows that aren't blank, and whether there was more than is asked for; a plain split where quoting is broken."""
+    csv.field_size_limit(1 << 30)
     try:
         rows, cut = [], False
         for i, row in enumerate(csv.reader(io.StringIO(text), delimiter=delimiter, skipinitialspace=True)):
-            if i >= most_rows:
+            if most_rows is not None and i >= most_rows:
                 cut = True
                 break
             if any(c.strip() for c in row):
-                rows.append(row[:MOST_COLUMNS])
+                rows.append(row[:most_columns])
+                cut = cut or len(rows[-1]) < len(row)
         return rows, cut
     except csv.Error:
         lines = text.split("\n")
-        return [x.strip().split(delimiter)[:MOST_COLUMNS] for x in lines[:most_rows] if x.strip()], len(lines) > most_rows
+        rows = [x.strip().split(delimiter) for x in lines[:most_rows] if x.strip()]
+        return [r[:most_columns] for r in rows], (most_rows is not None and len(lines) > most_rows) or (most_columns is not None and any(len(r) > most_columns for r in rows))
+
+
+def tabbed(rows: list[list[str]]) -> str:
+    """Rows as lines with tabs, where a table can't be drawn."""
+    return "\n".join("\t".join(" ".join(c.split()) for c in r) for r in rows)
 
 
 def has_header(rows: list[list[str]]) -> bool:
@@ -59,10 +67,10 @@ def has_header(rows: list[list[str]]) -> bool:
     return words and (any(is_numeric(c) for c in rows[1] if c.strip()) or len(set(rows[0])) == len(rows[0]))
 
 
-def read(text: str, delimiter: str | None = None) -> tuple[str, list[list[Cell]], dict[str, str]]:
+def read(text: str, delimiter: str | None = None, most_rows: int | None = None, most_columns: int | None = None) -> tuple[str, list[list[Cell]], dict[str, str]]:
     """The table as text, its cells and what is known of the file."""
     delimiter = delimiter or sniff(text)[0]
-    rows, cut = parse(text, delimiter)
+    rows, cut = parse(text, delimiter, most_rows, most_columns)
     header = has_header(rows)
     width = max((len(r) for r in rows), default=0)
     cells = [[Cell(c.strip(), header=header and i == 0) for c in [*r, *[""] * (width - len(r))]] for i, r in enumerate(rows)]
@@ -71,4 +79,7 @@ def read(text: str, delimiter: str | None = None) -> tuple[str, list[list[Cell]]
         about["column_names"] = ", ".join(rows[0][:10]) + (f" (+{len(rows[0]) - 10} more)" if len(rows[0]) > 10 else "")
     if cut:
         about["truncated"] = "Yes"
-    return as_html(cells), cells, about
+    try:
+        return as_html(cells), cells, about
+    except (MemoryError, RecursionError):
+        return tabbed(rows), cells, about

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import json
 
-MOST_VALUES = 20_000
 
+def flatten(text: str, most: int | None = None) -> str | None:
+    """A line ``path: value`` for each leaf in order, a blank line before each element of an array that isn't a leaf; null for no JSON.
 
-def flatten(text: str) -> str | None:
-    """A line ``path: value`` for each leaf in order, a blank line before each element of an array that isn't a leaf; null for no JSON."""
+    Of more than ``most`` lines the rest is left out, which the last line tells.
+    """
     try:
         root = json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     out: list[str] = []
     todo = [("", root, False)]
-    while todo and len(out) < MOST_VALUES:
+    while todo:
+        if most is not None and len(out) >= most:
+            out.append(CUT)
+            break
         path, value, parted = todo.pop()
         if parted and out:
             out.append("")
@@ -26,3 +30,7 @@ def flatten(text: str) -> str | None:
         else:
             out.append(f"{path}: {json.dumps(value, ensure_ascii=False)}")
     return "\n".join(out)
+
+
+#: The line behind what was left out.
+CUT = "..."
