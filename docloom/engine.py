@@ -166,8 +166,8 @@ def _hwpx(package: ooxml.Package) -> tuple[str, list]:
 
 
 def _pdf(data: bytes, ext: str) -> Read:
-    text, info = pdf.read(data)
-    return Read(text, info)
+    text, info, tables = pdf.read(data)
+    return Read(text, info, tables, ["a scan; it needs recognition"] if "scanned" in info else [])
 
 
 registry: dict[str, Callable[[bytes, str], Read]] = {}

@@ -432,10 +432,10 @@ def table_quality(tables: DataFrame, lines: DataFrame, drawings: DataFrame, keys
 
 def graphics(drawings: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, x0, y0, x1, y1, lines, curves, rects, fills, colors``: drawings that lie within twenty points of each other as one."""
-    rows = drawings.select(*keys, "id", *BOX, "lines", "curves", "rects", F.coalesce("filled", F.lit(False)).cast("int").alias("fills"), "color").where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    rows = drawings.select(*keys, *BOX, "lines", "curves", "rects", F.coalesce("filled", F.lit(False)).cast("int").alias("fills"), "color").where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
 
     def each(found: list[tuple]) -> Iterator[tuple]:
-        groups = [(r[1:5], *r[5:9], {r[9]} - {None}) for r in found]
+        groups = [(r[:4], *r[4:8], {r[8]} - {None}) for r in found]
         merging = True
         while merging:
             merging, kept = False, []

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docloom.sources import ooxml
+from docloom.sources import ooxml, pdfpage
 from docloom.tables import bounded_batches
 
 _DATA_URI = re.compile(rb"data:image/([a-z+.-]+);base64,([A-Za-z0-9+/=\s]+)")
@@ -73,3 +73,22 @@ def images(df: DataFrame, key: str, content: str = "content", most: int = 50 <<
         return [(d := hashlib.sha256(b).hexdigest(), f"{d[:16]}.{k}", b) for b, k in found if 0 < len(b) <= most]
 
     return _rows(df, key, content, each, "digest string, name string, bytes binary", [pa.string(), pa.string(), pa.binary()]).dropDuplicates([key, "digest"])
+
+
+_ELEMENT = {"page": "int", "kind": "string", "element": "int", "x0": "double", "y0": "double", "x1": "double", "y1": "double", "text": "string", "size": "double", "lines": "int", "curves": "int", "rects": "int", "filled": "boolean", "color": "string", "stroke": "double"}
+_KINDS = {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def elements(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """``key`` and the positioned elements of the pages of each PDF file: a row of kind ``page`` with its size, and its texts, drawings and images.
+
+    The tables of ``operators.pages`` are its rows by kind, with ``key`` and ``page`` as keys.
+    """
+    return _rows(df, key, content, pdfpage.elements, ", ".join(f"{k} {v}" for k, v in _ELEMENT.items()), [_KINDS[v] for v in _ELEMENT.values()])
+
+
+def page_tables(found: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pages, drawings, texts and images out of elements, as ``operators.pages`` takes them."""
+    of = lambda kind, *columns: found.where(found["kind"] == kind).select(key, "page", *columns)
+    box = ("x0", "y0", "x1", "y1")
+    return of("page", found["x1"].alias("width"), found["y1"].alias("height")), of("drawing", "element", *box, "lines", "curves", "rects", "filled", "color", "stroke"), of("text", "element", *box, "text", "size"), of("image", "element", *box)
