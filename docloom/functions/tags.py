@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How tags open and close.
@@ -45,17 +45,19 @@ def removed(text: Column, kind: str) -> Column:
     return F.regexp_replace(text, pattern(kind), "")
 
 
-def offsets(text: Column, regex: str) -> Column:
-    """Start and end of every match, from 0, as an array of (s, e, m), without any position function of the engine."""
-    matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    pieces = F.split(text, regex, -1)
-    lengths = F.transform(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda x: F.struct(F.length(x["p"]).alias("p"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("m"), x["m"].alias("t")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+def located(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
+    """``key, kind, no, s, e``: start and end of every match of each pattern in a text, from 0, by running sums of lengths.
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["p"]
-        e = s + x["m"]
-        out = F.when(x["t"].isNotNull(), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["t"].alias("m"))))).otherwise(acc["out"])
-        return F.struct(e.alias("at"), out.alias("out"))
+    What is shuffled are the lengths of matches and of what lies between; rows with one key stay apart. Null texts have none.
+    """
+    t = F.col(text)
 
-    return F.aggregate(lengths, start, step)["out"]
+    def of(kind: str, regex: str) -> Column:
+        pairs = F.arrays_zip(F.split(t, regex, -1).alias("p"), F.regexp_extract_all(t, F.lit(regex), F.lit(0)).alias("m"))
+        sizes = F.transform(pairs, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("no"), F.length(x["p"]).alias("p"), F.length(x["m"]).alias("m")))
+        return F.filter(sizes, lambda x: x["m"].isNotNull())
+
+    numbered = df.where(t.isNotNull()).select(key, text, F.monotonically_increasing_id().alias("_row"))
+    rows = numbered.select(key, "_row", F.explode(F.concat(*(of(k, r) for k, r in patterns.items()))).alias("x"))
+    ends = F.sum(F.col("x.p") + F.col("x.m")).over(Window.partitionBy("_row", "x.kind").orderBy("x.no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("e", ends.cast("int")).select(key, "x.kind", "x.no", (F.col("e") - F.col("x.m")).alias("s"), "e")

@@ -6,6 +6,7 @@ Each is a function of a text; ``chunked`` applies the one that fits to every row
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -169,12 +170,13 @@ def protected(text: str, size: int, overlap: int, preserve_tables: bool = True)
     for m in WHOLE.finditer(text):
         regions.append([m.start(), m.end(), m[0].lower().startswith("<table")])
     out, at, n = [], 0, len(text)
-    k = 0
+    # regions in reach: from the first that isn't passed yet to the last that begins before the end of a piece
+    starts, k = [r[0] for r in regions], 0
     while at < n:
         while k < len(regions) and regions[k][1] <= at:
             k += 1
         end = min(at + size, n)
-        inside = [r for r in regions[k:] if r[0] < end]
+        inside = regions[k : max(k, bisect_left(starts, end))]
         crossing = next((r for r in inside if r[0] < end < r[1]), None)
         soft = False
         if crossing:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import tags
+from docloom.tables import bounded_batches, by_group
 
 #: Extensions that are tables by nature.
 TABLE_EXTENSIONS = ("csv", "tsv", "xlsx", "xls")
@@ -47,36 +52,30 @@ def merged_pages(pages: DataFrame, key: str, size: int, overlap: int) -> DataFra
     A page joins while the sum stays within ``size``, four counted for each join; one that stays within one
     and a half times of it joins too and closes the chunk, whose last ``overlap`` signs open the next.
     """
-    ordered = pages.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "body"))), lambda x: x["body"]).alias("bodies"))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"), F.lit(0).alias("size"), F.lit("").alias("carry"), F.lit(False).alias("open"))
-
-    def step(acc: Column, p: Column) -> Column:
-        n = F.length(p)
-        total = acc["size"] + 4 + n
-        joined = F.concat(acc["held"], F.lit("\n\n"), p)
-        first = F.when(acc["carry"] == "", p).otherwise(F.concat(acc["carry"], F.lit("\n\n"), p))
-        new = lambda out, held, count, carry, opened: F.struct(out.alias("out"), held.alias("held"), count.alias("size"), carry.alias("carry"), opened.alias("open"))
-        add = lambda x: F.concat(acc["out"], F.array(x))
-        none, yes, no = F.lit(""), F.lit(True), F.lit(False)
-        return (
-            F.when(~acc["open"], new(acc["out"], first, F.length(first), none, yes))
-            .when(total <= size, new(acc["out"], joined, total, none, yes))
-            .when(total <= size * 3 / 2, new(add(joined), none, F.lit(0), F.substring(p, -overlap, overlap) if overlap else none, no))
-            .otherwise(new(add(acc["held"]), p, n, none, yes))
-        )
-
-    folded = F.aggregate("bodies", start, step, lambda a: F.when(a["open"], F.concat(a["out"], F.array(a["held"]))).otherwise(a["out"]))
-    return ordered.select(key, folded.alias("chunks"))
+
+    def each(rows: list[tuple]) -> Iterator[tuple]:
+        out, held, count, carry = [], [], 0, ""
+        for _, body in rows:
+            if not held:
+                held = [f"{carry}\n\n{body}" if carry else body]
+                count, carry = len(held[0]), ""
+            elif count + 4 + len(body) <= size:
+                held.append(body)
+                count += 4 + len(body)
+            elif count + 4 + len(body) <= size * 3 / 2:
+                out.append("\n\n".join([*held, body]))
+                held, carry = [], body[-overlap:] if overlap else ""
+            else:
+                out.append("\n\n".join(held))
+                held, count = [body], len(body)
+        yield (out + (["\n\n".join(held)] if held else []),)
+
+    return by_group(pages.select(key, "no", "body"), [key], each, {"chunks": "array<string>"})
 
 
 def regions(df: DataFrame, key: str, text: str, kinds: tuple[str, ...] = tuple(REGIONS)) -> DataFrame:
     """``key, kind, s, e``: every region of a text that is kept whole, with its offsets."""
-
-    def of(kind: str) -> Column:
-        return F.transform(tags.offsets(F.col(text), REGIONS[kind]), lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-
-    found = F.concat(*map(of, kinds))
-    return df.where(F.col(text).isNotNull()).select(key, F.explode(found).alias("x")).select(key, "x.*")
+    return tags.located(df, key, text, {k: REGIONS[k] for k in kinds}).drop("no")
 
 
 def merged_regions(found: DataFrame, key: str) -> DataFrame:
@@ -120,14 +119,28 @@ def offsets_of(chunks: DataFrame, key: str, order: str, text: str) -> DataFrame:
 
 def packed_lines(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """``key, no, chunk``: lines put together greedily up to ``size``; a longer line is a chunk of its own."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
-
-    def step(acc: Column, line: Column) -> Column:
-        joined = F.concat(acc["held"], F.lit("\n"), line)
-        fits = acc["held"].isNotNull() & (F.length(joined) <= size)
-        out = F.when(fits | acc["held"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"])))
-        return F.struct(out.alias("out"), F.when(fits, joined).otherwise(line).alias("held"))
 
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(r"\S"))
-    packed = F.aggregate(lines, start, step, lambda a: F.when(a["held"].isNotNull(), F.concat(a["out"], F.array(a["held"]))).otherwise(a["out"]))
-    return df.select(key, F.posexplode(packed).alias("no", "chunk"))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at, nos, out = [], [], []
+            for i, whole in enumerate(part.column(1).to_pylist()):
+                held, count, first = [], 0, len(out)
+                for line in whole.split("\n"):
+                    if not _VISIBLE.search(line):
+                        continue
+                    if held and count + 1 + len(line) > size:
+                        out.append("\n".join(held))
+                        held, count = [], 0
+                    count += len(line) + bool(held)
+                    held.append(line)
+                out += ["\n".join(held)] if held else []
+                at += [i] * (len(out) - first)
+                nos += range(len(out) - first)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(nos, pa.int32()), pa.array(out, pa.string())], [key, "no", "chunk"])
+
+    rows = df.where(F.col(text).isNotNull()).select(key, text)
+    return bounded_batches(rows).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, no int, chunk string")
+
+
+#: A sign that isn't white space as SQL patterns have it.
+_VISIBLE = re.compile(r"[^ \t\n\x0b\f\r]")

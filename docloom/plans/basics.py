@@ -112,9 +112,8 @@ n AS (SELECT text_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM m)
 SELECT text_id, i::INT AS no, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS starts FROM n""")
 def tag_offsets(spark, d):
     """Where each page tag starts."""
-    rows = read(spark, d, "extracted_texts").where(F.col("text").isNotNull())
-    found = rows.select("text_id", F.posexplode(tags.offsets(F.col("text"), tags.pattern("page"))).alias("no", "x"))
-    return found.select("text_id", (F.col("no") + 1).alias("no"), F.col("x.s").cast("long").alias("starts"))
+    found = tags.located(read(spark, d, "extracted_texts"), "text_id", "text", {"page": tags.pattern("page")})
+    return found.select("text_id", (F.col("no") + 1).alias("no"), F.col("s").cast("long").alias("starts"))
 
 
 _ROWS = "list_value(list_value('key', 'name', 'region'), list_value(n_nationkey::VARCHAR, n_name || ' | ' || r_name, r_name))"

@@ -77,7 +77,10 @@ def csv_sniff(spark, d):
     return _mapped(lines, guess, "guess", kind, "struct<delimiter: string, confidence: double>").select("csv_id", "guess.*")
 
 
-@query()
+_PART = "CASE WHEN {k} IS NULL AND {v} IS NULL THEN 'parts[{i}]: {{}}' ELSE concat_ws(E'\\n', 'parts[{i}].k: \"' || {k} || '\"', 'parts[{i}].v: \"' || {v} || '\"') END"
+
+
+@query(f"""SELECT doc_id, concat_ws(E'\\n', 'doc_id: ' || doc_id, 'lang: "' || lang || '"', '', {_PART.format(i=0, k='source', v='version_no::VARCHAR')}, '', {_PART.format(i=1, k='group_code', v='subject_area')}) AS lines FROM documents""")
 def json_nested(spark, d):
     """Nested objects as lines of path and value."""
     nested = F.to_json(F.struct("doc_id", "lang", F.array(F.struct(F.col("source").alias("k"), F.col("version_no").cast("string").alias("v")), F.struct(F.col("group_code").alias("k"), F.col("subject_area").alias("v"))).alias("parts")))

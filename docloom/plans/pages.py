@@ -152,7 +152,12 @@ def table_validate_score(spark, d):
     return pages.validated(_tables(spark, d)).select("t", "valid", F.round("sure", 6).alias("sure"), "reason")
 
 
-@query()
+_CLASH = "(greatest(0, least(k.x1, x[1].x1) - greatest(k.x0, x[1].x0)) * greatest(0, least(k.y1, x[1].y1) - greatest(k.y0, x[1].y0)))"
+
+
+@query(f"""WITH {_BOXES}, o AS (SELECT page, {{'o': id % 4 * 0.15::DOUBLE - score / 100, 'r': id % 4, 'id': id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} AS b FROM boxes), l AS (SELECT page, list(b ORDER BY b.o, b.r, b.id, b.x0, b.y0) AS all_of FROM o GROUP BY page),
+ k AS (SELECT page, list_reduce(list_transform(all_of, lambda b: [b]), lambda a, x: CASE WHEN len(list_filter(a, lambda k: {_CLASH} > 0 AND {_CLASH} >= 0.3 * least((k.x1 - k.x0) * (k.y1 - k.y0), (x[1].x1 - x[1].x0) * (x[1].y1 - x[1].y0)))) > 0 THEN a ELSE list_concat(a, x) END) AS kept FROM l)
+SELECT page, unnest(list_transform(kept, lambda b: b.id)) AS id FROM k""")
 def nms_select(spark, d):
     """Candidates of a page without those that overlap a better one, the finders trusted by rank."""
     names = list(pages.FINDERS)

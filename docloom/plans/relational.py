@@ -228,7 +228,7 @@ def table_row_pack(spark, d):
     """Rows of tables packed into parts with their header repeated."""
     found = read(spark, d, "extracted_texts").select("text_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?is)<table[^>]*>.*?</table>"), F.lit(0))).alias("t"))
     rows = found.select("text_id", F.regexp_extract_all("t", F.lit(tables.ROW), F.lit(0)).alias("r")).where(F.size("r") > 1)
-    packed = rows.select("text_id", tables.packed_rows(F.slice("r", 2, 100000), F.get("r", F.lit(0)), 300).alias("g"))
+    packed = rows.select("text_id", tables.packed_rows(F.slice("r", F.lit(2), F.size("r") - 1), F.get("r", F.lit(0)), 300).alias("g"))
     return packed.select("text_id", F.transform("g", lambda x: F.size(x).cast("long")).alias("parts"))
 
 

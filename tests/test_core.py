@@ -34,9 +34,12 @@ def test_scalars(spark):
 
 
 def test_tag_offsets(spark):
-    t = "a[Page Number: 1]bb[Page Number: 22 (OCR)]"
-    got = one(spark, tags.offsets(F.col("t"), tags.pattern("page")), t=t)
-    assert [(x.s, x.e, x.m) for x in got] == [(m.start(), m.end(), m[0]) for m in re.finditer(tags.pattern("page"), t)]
+    texts = ["a[Page Number: 1]bb[Page Number: 22 (OCR)]", "x[Sheet: é]" * 3000, None, "", "[Page Number: 1]", "[Page Number: 1]"]
+    df = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, texts[2]), (4, texts[3]), (5, texts[4]), (5, texts[5]), (None, texts[0])], "id long, text string")
+    patterns = {k: tags.pattern(k) for k in ("page", "sheet")}
+    got = sorted((r.id or 0, r.kind, r.no, r.s, r.e) for r in tags.located(df, "id", "text", patterns).collect())
+    want = [(i, k, n, m.start(), m.end()) for i, t in ((1, texts[0]), (2, texts[1]), (5, texts[4]), (5, texts[5]), (0, texts[0])) for k, p in patterns.items() for n, m in enumerate(re.finditer(p, t))]
+    assert got == sorted(want) and len(got) > 3000 and tags.located(df.limit(0), "id", "text", patterns).count() == 0
     assert one(spark, tags.values(F.col("t"), "image"), t="[Image: a.png ][Image:b]") == ["a.png", "b"]
 
 
