@@ -270,7 +270,7 @@ def read_one(data: bytes | None, extension: str, settings: Settings = Settings()
         if ext not in registry:
             return None, f"E_UNSUPPORTED_FORMAT: {ext}"
         got = _within(settings, registry[ext], data, ext)
-        got.text = re.sub(r"[ \t]+$", "", re.sub(r"\n{3,}", "\n\n", got.text), flags=re.MULTILINE).strip()
+        got.text = tidied(got.text)
         return got, None
     except TooLong:
         return None, f"E_TIMEOUT: more than {settings.seconds} s"
@@ -278,6 +278,15 @@ def read_one(data: bytes | None, extension: str, settings: Settings = Settings()
         return None, f"{code_of(e)}: {e}"
 
 
+def tidied(text: str) -> str:
+    """At most one blank line in a row, no blanks before a line feed, no white space at both ends."""
+    if "\n\n\n" in text:
+        text = re.sub(r"\n{3,}", "\n\n", text)
+    if " \n" in text or "\t\n" in text:
+        text = "\n".join(line.rstrip(" \t") for line in text.split("\n"))
+    return text.strip()
+
+
 def _within(settings: Settings, reader: Callable[[bytes, str], Read], data: bytes, ext: str) -> Read:
     """What a reader gives under the settings, within the seconds they allow; a reader that takes longer is left to end by itself."""
     token = _SETTINGS.set(settings)
@@ -303,6 +312,25 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 _FIELDS = "text string, metadata map<string,string>, tables array<array<array<struct<content: string, row_span: int, col_span: int, is_header: boolean>>>>, encoding string, warnings array<string>, error string"
 
 
+def as_cells(tables: Iterable[list[list[list[Cell]]] | None]) -> pa.Array:
+    """The tables of some files as one array of rows of cells, built column by column."""
+    files, rows_at, cells_at, cells = [0], [0], [0], []
+    missing = []
+    for held in tables:
+        missing.append(held is None)
+        for table in held or ():
+            for row in table:
+                cells += row
+                cells_at.append(len(cells))
+            rows_at.append(len(cells_at) - 1)
+        files.append(len(rows_at) - 1)
+    fields = [pa.array([c.text for c in cells], pa.string()), pa.array([c.rows for c in cells], pa.int32()), pa.array([c.cols for c in cells], pa.int32()), pa.array([c.header for c in cells], pa.bool_())]
+    out = pa.StructArray.from_arrays(fields, ["content", "row_span", "col_span", "is_header"])
+    for offsets in (cells_at, rows_at):
+        out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), out)
+    return pa.ListArray.from_arrays(pa.array(files, pa.int32()), out, mask=pa.array(missing, pa.bool_()))
+
+
 def extracted(df: DataFrame, keys: list[str], content: str = "content", extension: str = "extension", settings: Settings = Settings(), with_metadata: bool = True) -> DataFrame:
     """``keys`` and text, metadata, tables, encoding, warnings and error of each file; no file fails the job.
 
@@ -310,10 +338,9 @@ def extracted(df: DataFrame, keys: list[str], content: str = "content", extensio
     empty text. Keys may be null and repeat.
     """
     n = len(keys)
-    cell = pa.struct([("content", pa.string()), ("row_span", pa.int32()), ("col_span", pa.int32()), ("is_header", pa.bool_())])
     readers = dict(registry)
 
-    kinds = [pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.list_(pa.list_(cell))), pa.string(), pa.list_(pa.string()), pa.string()]
+    kinds = [pa.string(), pa.map_(pa.string(), pa.string()), None, pa.string(), pa.list_(pa.string()), pa.string()]
     names = [*keys, "text", "metadata", "tables", "encoding", "warnings", "error"]
 
     def row(data: bytes | None, ext: str) -> tuple:
@@ -321,8 +348,7 @@ def extracted(df: DataFrame, keys: list[str], content: str = "content", extensio
         if got is None:
             return None, None, None, None, None, error
         block = metadata_block(got.metadata, settings.metadata.language, settings.metadata.indent) if with_metadata else ""
-        tables = [[[{"content": c.text, "row_span": c.rows, "col_span": c.cols, "is_header": c.header} for c in r] for r in t] for t in got.tables]
-        return f"{block}\n\n{got.text}" if block else got.text, list(got.metadata.items()), tables, got.encoding, got.warnings, None
+        return f"{block}\n\n{got.text}" if block else got.text, list(got.metadata.items()), got.tables, got.encoding, got.warnings, None
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         registry.update(readers)
@@ -333,7 +359,7 @@ def extracted(df: DataFrame, keys: list[str], content: str = "content", extensio
                 weight += 3 * len(held[-1][0] or "") + 64
                 if weight >= 1 << 23 or i + 1 == part.num_rows:
                     size = len(held)
-                    yield pa.RecordBatch.from_arrays([*(part.column(k).slice(first, size) for k in range(n)), *(pa.array(c, k) for c, k in zip(zip(*held), kinds))], names)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k).slice(first, size) for k in range(n)), *(as_cells(c) if k is None else pa.array(c, k) for c, k in zip(zip(*held), kinds))], names)
                     held, first, weight = [], i + 1, 0
 
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), _FIELDS])

@@ -73,7 +73,7 @@ def read(text: str, delimiter: str | None = None, most_rows: int | None = None,
     rows, cut = parse(text, delimiter, most_rows, most_columns)
     header = has_header(rows)
     width = max((len(r) for r in rows), default=0)
-    cells = [[Cell(c.strip(), header=header and i == 0) for c in [*r, *[""] * (width - len(r))]] for i, r in enumerate(rows)]
+    cells = [[Cell(c.strip(), 1, 1, header and i == 0) for c in (r if len(r) == width else [*r, *[""] * (width - len(r))])] for i, r in enumerate(rows)]
     about = {"delimiter": NAMES.get(delimiter, delimiter), "row_count": str(len(rows)), "col_count": str(width), "has_header": "Yes" if header else "No"}
     if header:
         about["column_names"] = ", ".join(rows[0][:10]) + (f" (+{len(rows[0]) - 10} more)" if len(rows[0]) > 10 else "")

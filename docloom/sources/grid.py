@@ -7,7 +7,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 
-@dataclass
+@dataclass(slots=True)
 class Cell:
     text: str
     rows: int = 1
@@ -17,15 +17,25 @@ class Cell:
 
 def as_html(rows: list[list[Cell]]) -> str:
     """Simple HTML with spans above one."""
+    if not rows:
+        return ""
     out = ["<table border='1'>"]
     for row in rows:
         out.append("  <tr>")
         for c in row:
-            name = "th" if c.header else "td"
-            spans = (f" rowspan='{c.rows}'" if c.rows > 1 else "") + (f" colspan='{c.cols}'" if c.cols > 1 else "")
-            out.append(f"    <{name}{spans}>{html.escape(c.text, quote=False).replace(chr(10), '<br>')}</{name}>")
+            name, text = "th" if c.header else "td", c.text
+            if "&" in text or "<" in text or ">" in text:
+                text = html.escape(text, quote=False)
+            if "\n" in text:
+                text = text.replace("\n", "<br>")
+            if c.rows == 1 == c.cols:
+                out.append(f"    <{name}>{text}</{name}>")
+            else:
+                spans = (f" rowspan='{c.rows}'" if c.rows > 1 else "") + (f" colspan='{c.cols}'" if c.cols > 1 else "")
+                out.append(f"    <{name}{spans}>{text}</{name}>")
         out.append("  </tr>")
-    return "\n".join([*out, "</table>"]) if rows else ""
+    out.append("</table>")
+    return "\n".join(out)
 
 
 def as_markdown(rows: list[list[Cell]]) -> str:
