@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,7 +47,10 @@ def recursive(text: str, size: int, overlap: int, separators: tuple[str, ...] =
         return [text[i : i + size] for i in range(0, max(1, len(text) - overlap), size - overlap)] if text.strip() else []
     keep = sep.strip() != ""
     parts = [p for p in re.split(f"(?={re.escape(sep)})" if keep else re.escape(sep), text) if p]
-    joint, out, held = "" if keep else sep, [], []
+    joint, out = "" if keep else sep, []
+    # the pieces held for the next chunk, and how long they are together
+    held: deque[str] = deque()
+    gap, count = len(joint), 0
 
     def flush() -> None:
         chunk = joint.join(held).strip()
@@ -54,16 +58,19 @@ def recursive(text: str, size: int, overlap: int, separators: tuple[str, ...] =
             out.append(chunk)
 
     for p in parts:
-        if len(p) > size:
+        n = len(p)
+        if n > size:
             flush()
-            held = []
+            held.clear()
+            count = 0
             out += recursive(p, size, overlap, rest or ("",))
             continue
-        if held and len(joint.join([*held, p])) > size:
+        if held and count + gap + n > size:
             flush()
-            while held and (len(joint.join(held)) > overlap or len(joint.join([*held, p])) > size):
-                held = held[1:]
-        held = [*held, p]
+            while held and (count > overlap or count + gap + n > size):
+                count -= len(held.popleft()) + (gap if held else 0)
+        count += n + (gap if held else 0)
+        held.append(p)
     flush()
     return out
 
