@@ -259,3 +259,13 @@ def same_moment(times: DataFrame) -> DataFrame:
     known = known.select("field", "file_id", "utc_seconds", "meta_id").distinct()
     other = known.withColumnRenamed("meta_id", "meta_id_b")
     return known.withColumnRenamed("meta_id", "meta_id_a").join(other, ["field", "file_id", "utc_seconds"]).where("meta_id_a < meta_id_b").select("field", "meta_id_a", "meta_id_b").distinct()
+
+
+def classes(times: DataFrame) -> DataFrame:
+    """``field, meta_id, file_id, utc_seconds, class, links``: each record with a moment once, the least ``meta_id`` of its file that
+    has the same second in the field, and how many others have it; as ``same_moment``, without a row for each pair."""
+    known = times.where(F.col("utc_seconds").isNotNull() & F.col("file_id").isNotNull() & F.col("meta_id").isNotNull())
+    known = known.select("field", "file_id", "utc_seconds", "meta_id").distinct()
+    key = ["field", "file_id", "utc_seconds"]
+    grouped = known.groupBy(*key).agg(F.min("meta_id").alias("class"), (F.count("*") - 1).alias("links"))
+    return known.join(grouped, key).select("field", "meta_id", "file_id", "utc_seconds", "class", "links")

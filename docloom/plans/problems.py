@@ -18,6 +18,11 @@ def p2_times(spark, folder):
     return timestamps.normalise(read_wide(spark, folder, "doc_metadata"))
 
 
+def p2_classes(spark, folder):
+    """Each record with the class of those of its file that denote the same second, and its number of links."""
+    return timestamps.classes(timestamps.normalise(read_wide(spark, folder, "doc_metadata")))
+
+
 def _csv(spark, folder):
     return (read(spark, folder, t) for t in ("csv_records", "csv_metadata", "csv_schemas"))
 
@@ -40,4 +45,4 @@ def p3_files(spark, folder):
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_times": p2_times, "p3_found": p3_found, "p3_rows": p3_rows, "p3_files": p3_files}
+    return {"p2_found": p2_found, "p2_times": p2_times, "p2_classes": p2_classes, "p3_found": p3_found, "p3_rows": p3_rows, "p3_files": p3_files}

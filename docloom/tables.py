@@ -22,8 +22,8 @@ def read_wide(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """As ``read``, for work that is heavy per row: a table of fewer splits than there are cores is dealt out to all
     of them. A large table has more splits and isn't moved; rows and results are the same."""
     df, cores = read(spark, folder, name), spark.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()  # a scan alone, nothing runs
-    return df.repartition(cores) if splits < cores else df
+    # a scan alone: its splits are known without running anything
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession, fallback: str = "/tmp/docloom-checkpoints") -> str:

@@ -92,3 +92,7 @@ def test_pairs_against_brute_force(spark):
     got = [(r.field, r.meta_id_a, r.meta_id_b) for r in T.same_moment(times).collect()]
     assert sorted(got) == sorted(want) and got
     assert T.same_moment(T.normalise(df.limit(0))).count() == 0
+    rows = T.classes(times).collect()
+    pairs = sorted((r.field, r.meta_id, r.links, r["class"]) for r in rows)
+    linked = [(f, a) for f, a, b in got] + [(f, b) for f, a, b in got]
+    assert len(rows) == len(known) and all(links == linked.count((f, m)) and least == min([m] + [a for g, a, b in got if g == f and b == m]) for f, m, links, least in pairs)
