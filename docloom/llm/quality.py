@@ -2,7 +2,7 @@
 
 All statistics are SQL over the whole text and stay in the JVM. A rule list is induced by incremental
 reduced-error pruning from labelled documents (a bounded number, see ``samples``); its thresholds become
-a CASE expression over the statistics.
+a CASE expression over the statistics. Several such lists vote.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from docloom.llm.samples import FUNCTION_WORDS, labelled
 
 #: Documents of each kind that the rules are learned from; the bound of the sample.
 LABELLED = 400
+#: Rule lists that vote on a document; one list hangs on which of the sample it was grown and pruned on.
+LISTS = 15
 COMMON = sorted({w for words in FUNCTION_WORDS.values() for w in words.split() if len(w) > 1})
 #: Lines that dress a document and say nothing of its body.
 FRAME = (
@@ -26,9 +28,11 @@ FRAME = (
 )
 ITEM = r"^\s*(?:\\(?:bib)?item\b|\\(?:sub)+item\b|[-*•‣–+]{1,2}\s+\S|\(?\d{1,4}[.)]\s+\S|\[[^\]\s]{1,12}\]\s+\S|[a-zA-Z][.)]\s+\S)"
 ROW = r"(?=[&\t|;, ])(?:&.*(?:&|\\\\)|\t[^\t]*\t|\|.*\||;[^;\s]*\d[^;]*;|;\S+;\S+$|,[-+]?\d[\d.]*,| {2,}[-+]?[\d.]+ {2,}\S)"
+#: A line of a dump of bytes: where it stands, and the bytes by pairs of digits.
+DUMP = r"^\s*[0-9a-fA-F]{6,16}:?\s+(?:[0-9a-fA-F]{2,4}\s+){4,}"
 END = r"[.!?…。;:][\"'”’)\]}]*\s*$"
 #: The statistics that rules may ask for: those that don't hang on the length of words or the breaking of lines.
-FEATURES = ("common_share", "other_script_share", "item_share", "row_share", "line_repeat", "word_variety", "digit_share", "symbol_share", "sentence_rate", "sentence_repeat")
+FEATURES = ("common_share", "other_script_share", "item_share", "row_share", "dump_share", "line_repeat", "word_variety", "digit_share", "symbol_share", "sentence_rate", "sentence_repeat")
 ACCENT = r"\\[\"'`^~=.]\s*\{?\\?([A-Za-z])\}?"
 
 
@@ -42,6 +46,7 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     n_chars, n_lines, n_words: signs, lines of the body that aren't blank, words of two letters and more.
     common_share: words that are function words; other_script_share: letters outside of Latin among all;
     item_share, row_share, end_share: lines that open like an item, are cut into cells, end in punctuation;
+    dump_share: lines that dump bytes;
     line_repeat: lines that stand there before; word_variety: different words to the square root of all;
     mean_word: letters a word; digit_share, symbol_share, long_share: signs that are digits, neither
     letters nor digits nor blanks, or in words of over 20 letters; sentence_rate: ends of sentences a word;
@@ -64,7 +69,7 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         F.length(F.array_join("_w", "")).cast("double").alias("_letters"),
         F.length(F.array_join(F.filter("_w", lambda w: F.length(w) > 20), "")).cast("double").alias("_long"),
         count(F.filter("_l", lambda x: x.rlike(ITEM))).alias("_items"), count(F.filter("_l", lambda x: x.rlike(ROW))).alias("_rows"),
-        count(F.filter("_l", lambda x: x.rlike(END))).alias("_ends"), count(F.array_distinct("_l")).alias("_lines"),
+        count(F.filter("_l", lambda x: x.rlike(END))).alias("_ends"), count(F.filter("_l", lambda x: x.rlike(DUMP))).alias("_dumps"), count(F.array_distinct("_l")).alias("_lines"),
         count("_s").alias("_all_sentences"), count(F.array_distinct("_s")).alias("_own_sentences"),
         without(r"[^\x00-\x{24F}\P{L}]+").alias("_other"), without(r"\p{L}+").alias("_all_letters"), without(r"[0-9]+").alias("_digits"), without(r"\s+").alias("_blank"),
         F.regexp_count("_p", F.lit(r"[.!?](?=\s|$)(?<=\p{L}{2}[)\"'’]?[.!?])")).cast("double").alias("_sentences"),
@@ -73,7 +78,7 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     c = F.col
     return sums.select(
         key, "n_chars", "n_lines", "n_words", _part(c("_common"), w).alias("common_share"), _part(c("_other"), c("_all_letters")).alias("other_script_share"),
-        _part(c("_items"), ln).alias("item_share"), _part(c("_rows"), ln).alias("row_share"), _part(c("_ends"), ln).alias("end_share"), _part(ln - c("_lines"), ln).alias("line_repeat"),
+        _part(c("_items"), ln).alias("item_share"), _part(c("_rows"), ln).alias("row_share"), _part(c("_ends"), ln).alias("end_share"), _part(c("_dumps"), ln).alias("dump_share"), _part(ln - c("_lines"), ln).alias("line_repeat"),
         _part(c("_distinct"), F.sqrt(w)).alias("word_variety"), _part(c("_letters"), w).alias("mean_word"), _part(c("_digits"), n).alias("digit_share"),
         _part(n - c("_all_letters") - c("_digits") - c("_blank"), n).alias("symbol_share"), _part(c("_long"), c("_letters")).alias("long_share"), _part(c("_sentences"), w).alias("sentence_rate"),
         _part(c("_all_sentences") - c("_own_sentences"), c("_all_sentences")).alias("sentence_repeat"),
@@ -81,26 +86,35 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 @lru_cache(maxsize=2)
-def _learned(spark: SparkSession, each: int) -> RuleList:
+def _learned(spark: SparkSession, each: int, lists: int) -> tuple[RuleList, ...]:
     documents = labelled(each)
     rows = [(i, t) for i, (t, _) in enumerate(documents)]
     got = statistics(spark.createDataFrame(rows, "doc_id bigint, text string")).toPandas().sort_values("doc_id")
     x = {f: got[f].to_numpy(np.float64) for f in FEATURES}
-    return induce(x, np.array([k for _, k in documents], object), ["table", "list", "junk"], "prose")
+    y = np.array([k for _, k in documents], object)
+    return tuple(induce(x, y, ["table", "list", "junk"], "prose", seed) for seed in range(1, lists + 1))
 
 
-def rules(spark: SparkSession, each: int = LABELLED) -> RuleList:
-    """The rule list learned from ``each`` labelled documents of every kind."""
-    return _learned(spark, each)
+def rules(spark: SparkSession, each: int = LABELLED, lists: int = LISTS) -> tuple[RuleList, ...]:
+    """Rule lists learned from ``each`` labelled documents of every kind, each from other thirds of them for growing and pruning."""
+    return _learned(spark, each, lists)
 
 
-def classified(df: DataFrame, key: str = "doc_id", text: str = "text", each: int = LABELLED) -> DataFrame:
+def voted(lists: tuple[RuleList, ...]) -> Column:
+    """The kind that most of the rule lists give by the statistics; of equally many the first of table, list, junk and prose."""
+    kinds = F.array(*(F.expr(r.sql()) for r in lists))
+    votes = lambda kind: F.size(F.filter(kinds, lambda k: k == F.lit(kind)))
+    most = F.greatest(*(F.struct(votes(kind).alias("n"), F.lit(-no).alias("no"), F.lit(kind).alias("kind")) for no, kind in enumerate(("table", "list", "junk", "prose"))))
+    return most["kind"]
+
+
+def classified(df: DataFrame, key: str = "doc_id", text: str = "text", each: int = LABELLED, lists: int = LISTS) -> DataFrame:
     """The statistics and ``kind``: prose, list, table or junk; null where the text is null, empty or blank.
 
     A document of another script than Latin is prose unless its lines say otherwise. Rows are kept as they
     are, repeated ones too; no shuffle.
     """
-    kind = F.expr(rules(df.sparkSession, each).sql())
+    kind = voted(rules(df.sparkSession, each, lists))
     stats = statistics(df, key, text)
     # a generator between them keeps a later filter on the kind from being rewritten in terms of the text,
     # where every statistic it asks for would be computed once more

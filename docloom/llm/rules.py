@@ -96,9 +96,9 @@ def _prune(conditions: tuple[Condition, ...], x: dict[str, np.ndarray], y: np.nd
     return max((conditions[: k + 1] for k in range(len(conditions))), key=lambda cs: (worth(cs), -len(cs)))
 
 
-def induce(x: dict[str, np.ndarray], labels: np.ndarray, order: list[str], default: str, seed: int = 7, cuts: int = 32) -> RuleList:
+def induce(x: dict[str, np.ndarray], labels: np.ndarray, order: list[str], default: str, seed: int = 7, cuts: int = 32, least: float = 0.9) -> RuleList:
     """Rules for each class of ``order`` in turn: grown on two thirds of what is left, pruned on one third,
-    and kept while most of what they cover there is of the class."""
+    and kept while at least the share ``least`` of what they cover there is of the class."""
     rng, out = np.random.default_rng(seed), RuleList(default=default)
     left = np.ones(len(labels), bool)
     for kind in order:
@@ -117,7 +117,7 @@ def induce(x: dict[str, np.ndarray], labels: np.ndarray, order: list[str], defau
             rule = _prune(rule, sub(p), labels[p] == kind)
             hit = _covered(rule, x)
             good, bad = (hit & p & (labels == kind)).sum(), (hit & p & (labels != kind)).sum()
-            if good <= bad:
+            if good == 0 or good < least * (good + bad):
                 break
             out.rules.append((rule, kind))
             left &= ~hit

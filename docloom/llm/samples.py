@@ -38,14 +38,23 @@ def sentence(r: random.Random, lang: str = "en") -> str:
     """A sentence: function words and others about as often as in prose."""
     if lang == "ko":
         words = KOREAN.split()
-        return " ".join(r.choice(words) for _ in range(r.randint(5, 10))) + "다."
+        out = [r.choice(words) for _ in range(r.randint(4, 10))]
+        return _counted(r, " ".join(out) + "다.")
     small, content = FUNCTION_WORDS[lang].split(), (NOUNS + " " + VERBS + " " + ADJECTIVES).split()
     out = []
     share = r.uniform(0.3, 0.55)
     for _ in range(r.randint(8, 24)):
         out.append(r.choice(small) if r.random() < share else r.choice(content) if r.random() < 0.8 else _word(r))
     text = " ".join(out)
-    return text[0].upper() + text[1:] + r.choice([".", ".", ".", ".", "?", ";"])
+    return _counted(r, text[0].upper() + text[1:] + r.choice([".", ".", ".", ".", "?", ";"]))
+
+
+def _counted(r: random.Random, text: str) -> str:
+    """The sentence with a number in it now and then."""
+    if r.random() < 0.6:
+        return text
+    head, _, tail = text.partition(" ")
+    return f"{head} {r.randint(2, 400)} {tail}"
 
 
 def _paragraph(r: random.Random, lang: str, maths: float, wrap: bool) -> str:
@@ -68,12 +77,16 @@ def _paragraph(r: random.Random, lang: str, maths: float, wrap: bool) -> str:
 def prose(r: random.Random) -> str:
     lang = r.choice(["en"] * 6 + ["fr", "es", "de", "ko", "ko"])
     maths, wrap, out = r.choice([0, 0.1, 0.5, 0.9]), r.random() < 0.6, []
+    # prose says some things more than once
+    said = [sentence(r, lang) for _ in range(r.choice([0, 0, 1, 2, 4]))]
     if r.random() < 0.3:
         return r.choice(["{}", "\\begin{{abstract}}\n{}\n\\end{{abstract}}"]).format(" ".join(sentence(r, lang) for _ in range(r.randint(1, 4))))
     for k in range(r.randint(2, 9)):
         if r.random() < 0.5:
             out.append(f"\\section{{{_word(r).title()} {r.choice(NOUNS.split())}}}")
         out.append(_paragraph(r, lang, maths, wrap))
+        if said and r.random() < 0.5:
+            out.append(r.choice(said))
         if r.random() < 0.3:
             out.append("\\begin{align*}\n" + "\n".join(f"  \\frac{{{r.choice('abc')}^{{{i}}}}}{{\\nu_{{s}}}} &= \\left({r.choice('pqr')} + {i}\\right) \\\\" for i in range(r.randint(1, 4))) + "\n\\end{align*}")
         if r.random() < 0.2:
@@ -81,7 +94,7 @@ def prose(r: random.Random) -> str:
         if r.random() < 0.35:
             out.append(f"\\[ {r.choice('abcd')}^{{{k}}} = \\frac{{{r.randint(1, 9)}}}{{x_{{{k}}}}} \\]\n" * r.choice([1, 1, 3]))
         if r.random() < 0.25:
-            out.append("\\begin{itemize}\n" + "\n".join("\\item " + sentence(r, lang) for _ in range(r.randint(2, 5))) + "\n\\end{itemize}")
+            out.append("\\begin{itemize}\n" + "\n".join("\\item " + sentence(r, lang) for _ in range(r.choice([2, 3, 4, 5, 9]))) + "\n\\end{itemize}")
         if r.random() < 0.1:
             out.append("\\begin{tabular}{lr}\n" + "\n".join(f"{_word(r)} & {r.randint(1, 99)} \\\\" for _ in range(r.randint(2, 4))) + "\n\\end{tabular}")
     if r.random() < 0.5:
@@ -137,7 +150,7 @@ def table(r: random.Random) -> str:
 
 
 def junk(r: random.Random) -> str:
-    n, kind = r.randint(40, 400), r.randrange(11)
+    n, kind = r.randint(40, 400), r.randrange(12)
     if kind == 0:
         return " ".join(r.choice((NOUNS + " " + ADJECTIVES).split()) for _ in range(n))
     if kind == 1:
@@ -160,6 +173,8 @@ def junk(r: random.Random) -> str:
         return r.choice([" ", "\n"]).join([word] * n)
     if kind == 8:
         return r.choice(["\n", " "]).join([sentence(r)] * (n // 8 + 8))
+    if kind == 11:
+        return "\n".join([r.choice([f"\\vspace{{{r.randint(1, 9)}mm}}", "\\clearpage", "\\newpage \\null", "\\bigskip", f"\\hspace*{{{r.randint(1, 9)}em}}", "~ \\\\"])] * (n // 8 + 8))
     if kind == 9:
         return "\n".join(f"2023-0{r.randint(1, 9)}-1{r.randint(0, 9)} 1{r.randint(0, 9)}:{r.randint(10, 59)}:0{r.randint(0, 9)} {r.choice(['INFO', 'WARN', 'ERROR', 'DEBUG'])} {_word(r)}.{_word(r)}: {r.choice(['started', 'retry', 'timeout', 'done'])} id={r.randrange(1 << 32):x}" for _ in range(n // 8 + 5))
     return "\n".join(f'  File "/{_word(r)}/{_word(r)}.py", line {r.randint(1, 900)}, in {_word(r)}\n    {_word(r)}({_word(r)}[{r.randint(0, 9)}], *{_word(r)})' for _ in range(n // 12 + 4))
