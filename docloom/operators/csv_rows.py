@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.tables import bounded_batches, stored
+from docloom.tables import bounded_batches, sent, stored
 
 DELIMITERS = (b",", b"\t", b";", b"|")
 OK, ENCODING, QUOTING, COLUMNS, VALUE, HEADER = range(6)
@@ -197,8 +197,8 @@ def schema_signatures(schemas: DataFrame) -> DataFrame:
 
 def _joined(records: DataFrame, metadata: DataFrame, schemas: DataFrame) -> DataFrame:
     files = metadata.groupBy("csv_id").agg(F.min_by(F.struct("schema_id", "encoding", "has_header"), F.struct("extracted_at", "schema_id")).alias("m")).select("csv_id", "m.*")
-    # kept, so that the size of it is known when the join is planned: a small one goes to the records, not they to it
-    files = stored(files.join(schema_signatures(schemas), "schema_id", "left"))
+    # kept, so that its size is known when the join is planned: a small one goes to the records, not they to it
+    files = sent(stored(files.join(schema_signatures(schemas), "schema_id", "left")))
     header = (F.col("record_no") == 1) & F.coalesce(F.col("has_header") == "Yes", F.lit(False))
     return records.select("record_id", "csv_id", "record_no", "raw_record").join(files, "csv_id", "left").select(
         "record_id", "csv_id", "schema_id", F.coalesce(F.col("record_no") == 1, F.lit(False)).alias("first"),
@@ -260,9 +260,9 @@ def rows(records: DataFrame, metadata: DataFrame, schemas: DataFrame) -> DataFra
     ``values`` are the fields in the schema's order, decoded, unquoted, without surrounding blanks; an
     empty field is null. ``typed`` casts them.
     """
-    best = stored(file_delimiters(stored(tried(records, metadata, schemas))))
+    best = sent(stored(file_delimiters(stored(tried(records, metadata, schemas)))).withColumnRenamed("csv_id", "own"))
     source = _joined(records, metadata, schemas)
-    source = source.join(best.withColumnRenamed("csv_id", "own"), F.col("csv_id").eqNullSafe(F.col("own"))).drop("own")
+    source = source.join(best, F.col("csv_id").eqNullSafe(F.col("own"))).drop("own")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

@@ -53,6 +53,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Rows of a kept table up to which it is sent to the other side of a join; some hundred bytes each.
+MOST_SENT = 200_000
+
+
+def sent(kept: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """A kept table of narrow rows, to be sent to the other side of a join where it has few enough rows, else to be met by a shuffle."""
+    return F.broadcast(kept) if kept.count() <= most else kept.hint("merge")
+
+
 def by_group(df: DataFrame, keys: list[str], each: Callable[[list[tuple]], Iterable[tuple]], fields: dict[str, str]) -> DataFrame:
     """``keys`` and ``fields`` of what a function makes of the rows of each group, one group held at a time.
 

@@ -49,3 +49,11 @@ def test_whole_tables(spark):
     typed = C.typed(C.rows(df, meta, schemas), [("a", "INT"), ("b", "STRING")], 1)
     assert sorted((r.a, r.b) for r in typed.collect()) == [(1, "x"), (1, "가")]
     assert C.rejects(df.limit(0), meta, schemas).count() == 0
+
+
+def test_a_table_is_sent_only_if_it_is_small(spark):
+    from docloom.tables import sent
+
+    small, other = spark.range(10), spark.range(1000)
+    plans = [other.join(sent(small, most), "id")._jdf.queryExecution().executedPlan().toString() for most in (10, 9)]
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
